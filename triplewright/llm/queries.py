@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from triplewright.llm import packing, secret_scan, token_counts
+from triplewright.llm import lz_prints, mixing, packing, secret_scan, token_counts
 from triplewright.llm.common import read
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
     n = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
@@ -21,9 +25,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_prints.compare_neighbours(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_secrets, op5_packing, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_secrets, op5_packing, op7_lz_fingerprints, op9_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
