@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from triplewright.llm import lz_prints, mixing, packing, secret_scan, token_counts
+from triplewright.llm import lz_prints, mixing, packing, quality, secret_scan, token_counts
 from triplewright.llm.common import read
 
 
@@ -20,6 +20,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(read(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -33,5 +37,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_secrets, op5_packing, op7_lz_fingerprints, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_secrets, op4_quality, op5_packing, op7_lz_fingerprints, op9_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
