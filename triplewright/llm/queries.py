@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from triplewright.llm import lz_prints, mixing, packing, quality, secret_scan, token_counts
+from triplewright.llm import lz_prints, mixing, packing, quality, secret_scan, token_counts, toxicity
 from triplewright.llm.common import read
 
 
@@ -33,9 +33,13 @@ def op7_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_prints.compare_neighbours(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_secrets, op4_quality, op5_packing, op7_lz_fingerprints, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_secrets, op4_quality, op5_packing, op7_lz_fingerprints, op8_toxicity, op9_token_counts)}
 ORACLE_SQL: dict[str, str] = {}

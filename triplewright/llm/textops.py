@@ -53,7 +53,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """A hash of each span of bytes; spans are in order and don't overlap.
+    """A hash of each span of bytes; spans' starts ascend, and so do their ends.
 
     ``fold`` takes A-Z as a-z.  A span may be longer than ``CHUNK``.
     """
@@ -143,10 +143,10 @@ class Words(NamedTuple):
         return np.diff(self.first)
 
 
-def find_words(texts: Texts) -> Words:
-    """Where the words of each text are."""
+def find_words(texts: Texts, within: np.ndarray | None = None) -> Words:
+    """Where the words of each text are; or the runs of the bytes that ``within`` (256 flags) names."""
     data, offsets = texts
-    inside = ~SPACE[data]
+    inside = ~SPACE[data] if within is None else within[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     stops = inside.copy()
