@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from triplewright.llm import lz_prints, mixing, packing, quality, secret_scan, token_counts, toxicity
+from triplewright.llm import jaccard_join, lz_prints, mixing, packing, quality, secret_scan, token_counts, toxicity
 from triplewright.llm.common import read
 
 
@@ -12,6 +12,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
     n = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
@@ -41,5 +45,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_secrets, op4_quality, op5_packing, op7_lz_fingerprints, op8_toxicity, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_jaccard_join, op3_secrets, op4_quality, op5_packing, op7_lz_fingerprints, op8_toxicity, op9_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
