@@ -46,4 +46,24 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_jaccard_join, op3_secrets, op4_quality, op5_packing, op7_lz_fingerprints, op8_toxicity, op9_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+#: Distinct shingles of each document, those that two share, links, and what links reach.
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                                    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w
+), sizes AS (SELECT doc_id, len(s) AS n FROM s
+), x AS (SELECT doc_id, unnest(s) AS g FROM s
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * common.n >= 70 * (p.n + q.n - common.n)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT sizes.doc_id, CAST(sizes.n AS BIGINT) AS n_shingles, CAST((SELECT count(*) FROM links WHERE links.a = sizes.doc_id) AS BIGINT) AS n_similar,
+       (SELECT min(b) FROM reach WHERE reach.a = sizes.doc_id) AS component_id
+FROM sizes
+"""
+ORACLE_SQL: dict[str, str] = {"op2_jaccard_join": JACCARD_SQL}
