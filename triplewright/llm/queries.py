@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from triplewright.llm import jaccard_join, lz_prints, mixing, packing, quality, secret_scan, token_counts, toxicity
+from triplewright.llm import jaccard_join, lz_prints, mixing, packing, pseudo_lm, quality, secret_scan, token_counts, toxicity
 from triplewright.llm.common import read
 
 
@@ -45,7 +45,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_jaccard_join, op3_secrets, op4_quality, op5_packing, op7_lz_fingerprints, op8_toxicity, op9_token_counts)}
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_lm.score(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_jaccard_join, op3_secrets, op4_quality, op5_packing, op7_lz_fingerprints, op8_toxicity, op9_token_counts, op10_lm_scores)}
 #: Distinct shingles of each document, those that two share, links, and what links reach.
 JACCARD_SQL = r"""
 WITH RECURSIVE w AS (
