@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from triplewright.llm import jaccard_join, lz_prints, mixing, packing, pseudo_lm, quality, secret_scan, token_counts, toxicity
+from triplewright.llm import bm25_search, jaccard_join, lz_prints, mixing, packing, pseudo_lm, quality, secret_scan, token_counts, toxicity
 from triplewright.llm.common import read
 
 
@@ -33,6 +33,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every document whose id is divisible by 100."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return bm25_search.search(docs, docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"))
+
+
 def op7_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_prints.compare_neighbours(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -49,7 +55,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_lm.score(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_jaccard_join, op3_secrets, op4_quality, op5_packing, op7_lz_fingerprints, op8_toxicity, op9_token_counts, op10_lm_scores)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_jaccard_join, op3_secrets, op4_quality, op5_packing, op6_bm25_search, op7_lz_fingerprints, op8_toxicity, op9_token_counts, op10_lm_scores)}
 #: Distinct shingles of each document, those that two share, links, and what links reach.
 JACCARD_SQL = r"""
 WITH RECURSIVE w AS (
@@ -70,4 +76,18 @@ SELECT sizes.doc_id, CAST(sizes.n AS BIGINT) AS n_shingles, CAST((SELECT count(*
        (SELECT min(b) FROM reach WHERE reach.a = sizes.doc_id) AS component_id
 FROM sizes
 """
-ORACLE_SQL: dict[str, str] = {"op2_jaccard_join": JACCARD_SQL}
+#: BM25 of every document for every query, by joining postings.
+BM25_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), size AS (SELECT doc_id, len(w) AS n FROM w
+), corpus AS (SELECT count(*) AS n, sum(n) / count(*) AS mean FROM size
+), x AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM w) GROUP BY 1, 2
+), idf AS (SELECT t, ln(1 + ((SELECT n FROM corpus) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM x GROUP BY 1
+), scored AS (
+  SELECT q.doc_id AS query_id, x.doc_id, round(sum(idf.idf * x.tf * 2.2 / (x.tf + 1.2 * (0.25 + 0.75 * size.n / corpus.mean))), 6) AS score
+  FROM x q JOIN x ON q.t = x.t AND q.doc_id % 100 = 0 JOIN idf ON idf.t = x.t JOIN size ON size.doc_id = x.doc_id CROSS JOIN corpus GROUP BY 1, 2
+), ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored)
+SELECT query_id, CAST(rank AS BIGINT) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+ORACLE_SQL: dict[str, str] = {"op6_bm25_search": BM25_SQL, "op2_jaccard_join": JACCARD_SQL}
