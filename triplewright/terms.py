@@ -54,7 +54,7 @@ def make_list(elements: list[Term]) -> Term:
 
 
 def compact_list(text: str) -> Term:
-    """The characters of a text as a list, the last one outermost."""
+    """The characters of a text as a list, the last one first and outermost: ``abc`` is ``<c b a>``."""
     return make_list([Atom(c) for c in reversed(text)])
 
 
@@ -123,5 +123,5 @@ def show(term: Term) -> str:
         return "{" + " ".join(map(show, term.elements)) + "}"
     cells = list_elements(term)
     if cells:
-        return "<" + " ".join(show(c) for c in reversed(cells)) + ">"
+        return "<" + " ".join(show(c) for c in cells) + ">"
     return "(" + " ".join(show(x) for x in (term.s, term.p, *term.objects)) + ")"
