@@ -80,9 +80,9 @@ class Graph:
                 raise ValueError(f"{s} can't be its own object among others")
             out[fact_key(s, p, objects)] = (fact_key(s, p, objects), s, p, objects, float(prob), False, 0, None, self.cluster, None)
             for part in (f.s, f.p, *f.objects):
-                for one in [part] if isinstance(part, SetTerm) else []:
-                    for e in one.elements:
-                        put(Fact(e, Atom("in"), (one,)), 1.0)
+                if isinstance(part, SetTerm) and f.p != Atom("in"):
+                    for e in part.elements:
+                        put(Fact(e, Atom("in"), (part,)), 1.0)
 
         for fact, prob in facts:
             for f in inner_facts(fact)[:-1]:
