@@ -87,7 +87,7 @@ def smallest_divisor(n: Column) -> Column:
     value = n.cast("long")
     root = F.floor(F.sqrt(value.cast("double"))).cast("long") + 1
     tried = F.when(value >= 4, F.sequence(F.lit(2).cast("long"), F.greatest(root, F.lit(2).cast("long"))))
-    return F.element_at(F.filter(tried, lambda d: (value % d == 0) & (d < value)), F.when(F.size(F.filter(tried, lambda d: (value % d == 0) & (d < value))) > 0, 1))
+    return F.get(F.filter(tried, lambda d: (value % d == 0) & (d < value)), F.lit(0))
 
 
 def primality(n: Column) -> Column:
