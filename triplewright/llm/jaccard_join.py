@@ -5,7 +5,7 @@ global order, rarest first, so that two sets of the wanted similarity share a
 shingle among the first ones of each (the prefix).  Index lists hold only
 prefixes; a list is sorted by set size and read in blocks, and what lies beyond
 a set's size bound, or can't be reached from its position in the two sets any
-more, is skipped.  A pair that several lists would give is left to one of them.
+more, or differs in too many bits of two small maps of the sets, is skipped.  A pair that several lists would give is left to one of them.
 
 Candidate pairs are checked list by list: where sets are highly similar, one
 set's intersections follow from those already known of another - only the few
@@ -23,13 +23,17 @@ from triplewright.llm.components import components
 from triplewright.llm.textops import U64, as_texts, find_words, mix64, shingle_sets, slices
 
 #: Shingles whose frequency is known to the order: what every task is sent is 16 bytes for each.  The order decides what is fast, not what is found.
-ORDERED_SHINGLES = 1 << 18
+ORDERED_SHINGLES = 1 << 20
 #: Frequent shingles that one task reports.
-TASK_SHINGLES = 20_000
+TASK_SHINGLES = 100_000
 #: Postings that a bucket of lists holds, about.
 BUCKET_POSTINGS = 2_000_000
 #: Leading shingles that decide which list gives a pair.
 LEADERS = 3
+#: Bits of a set's parity map, from which a bound on any two sets' difference follows.
+MAP_BITS = 256
+#: Buckets at least, so that a small input has some tasks.
+LEAST_BUCKETS = 12
 #: Rows of a list that are checked together.
 BLOCK = 512
 #: Classes up to this number are sent to the scan that rereads their texts; more are joined to it.
@@ -57,8 +61,37 @@ def _signature(s: np.ndarray) -> int:
     return int(mix64(np.array([mix64(s * U64(0x9E3779B97F4A7C15) + U64(7)).sum(dtype=U64) + U64(len(s))]))[0].view(np.int64)) if len(s) else 0
 
 
+def parity_map(s: np.ndarray, bits: int = MAP_BITS) -> np.ndarray:
+    """For each of ``bits`` bits whether an odd number of the set's hashes fall on it.
+
+    Where two maps differ the sets differ in a hash at least, so the differing
+    bits are no more than the sets' symmetric difference.
+    """
+    return np.packbits((np.bincount((s & U64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(U64)
+
+
+def full_map(s: np.ndarray) -> np.ndarray:
+    """A parity map of two to four bits for each hash: all but the last few hundredths of similarity can be told from two."""
+    return parity_map(s, max(64, 1 << int(2 * len(s) - 1).bit_length()))
+
+
+def maps_apart(a: np.ndarray, b: np.ndarray) -> int:
+    """Bits in which two parity maps differ, the larger folded to the smaller's size."""
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        a = folded(a)
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def folded(m: np.ndarray) -> np.ndarray:
+    """A map of half the size: the halves' parities added."""
+    half = len(m) // 2
+    return m[:half] ^ m[half:]
+
+
 def signatures(docs: DataFrame, id_column: str, text_column: str, width: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """One pass: a table of (``id``, ``n``, ``sig``) by document; and frequent shingles, with how often they occur."""
+    """One pass: a table of (``id``, ``n``, ``sig``, ``map``) by document; and frequent shingles, with how often they occur."""
 
     def run(batches):
         kept_h, kept_n = np.zeros(0, U64), np.zeros(0, np.int64)
@@ -82,7 +115,8 @@ def signatures(docs: DataFrame, id_column: str, text_column: str, width: int) ->
                 k = len(edges) - 1
                 sig = np.array([_signature(sets[edges[i] : edges[i + 1]]) for i in range(k)], np.int64)
                 none = pa.nulls(k, pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.slice(a, k), pa.array(np.diff(edges)), pa.array(sig), none], names=["id", "n", "sig", "times"])
+                maps = pa.array([full_map(sets[i:j]).tobytes() if j > i else None for i, j in zip(edges[:-1].tolist(), edges[1:].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids.slice(a, k), pa.array(np.diff(edges)), pa.array(sig), none, maps], names=["id", "n", "sig", "times", "map"])
                 recent.append(sets)
                 size += len(sets)
                 if size > 3_000_000:
@@ -95,13 +129,13 @@ def signatures(docs: DataFrame, id_column: str, text_column: str, width: int) ->
             kept_h, kept_n = kept_h[top], kept_n[top]
         if len(kept_h):
             none = pa.nulls(len(kept_h), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(kept_h.view(np.int64)), pa.array(kept_n)], names=["id", "n", "sig", "times"])
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(kept_h.view(np.int64)), pa.array(kept_n), pa.nulls(len(kept_h), pa.binary())], names=["id", "n", "sig", "times", "map"])
 
-    table = stored(arrow_map(docs.select(F.col(id_column).cast("long"), text_column), run, "id long, n long, sig long, times long"))
+    table = stored(arrow_map(docs.select(F.col(id_column).cast("long"), text_column), run, "id long, n long, sig long, times long, map binary"))
     often = table.where("times is not null").groupBy("sig").agg(F.sum("times").alias("times")).where("times > 2").orderBy(F.desc("times"), "sig").limit(ORDERED_SHINGLES).toPandas()
     h, n = often["sig"].to_numpy(np.int64).view(U64), often["times"].to_numpy(np.int64)
     order = np.argsort(h)
-    return table.where("times is null").select("id", "n", "sig"), h[order], n[order]
+    return table.where("times is null").select("id", "n", "sig", "map"), h[order], n[order]
 
 
 def _ranked(s: np.ndarray, known: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -120,7 +154,7 @@ def _postings(docs: DataFrame, id_column: str, text_column: str, width: int, per
         seen: set[int] = set()
         for batch in batches:
             for _, sets, edges in _sets(batch.column(1), width):
-                keys, sigs, sizes, leads, counts = [], [], [], [], []
+                keys, sigs, sizes, leads, maps, counts = [], [], [], [], [], []
                 for i in range(len(edges) - 1):
                     s = sets[edges[i] : edges[i + 1]]
                     if not len(s):
@@ -136,6 +170,7 @@ def _postings(docs: DataFrame, id_column: str, text_column: str, width: int, per
                     sigs.append(sig)
                     sizes.append(len(s))
                     leads.append(lead)
+                    maps.append(parity_map(s))
                     counts.append(len(prefix))
                 if len(seen) > 1_000_000:
                     seen.clear()
@@ -146,7 +181,7 @@ def _postings(docs: DataFrame, id_column: str, text_column: str, width: int, per
                 bucket = ((key >> U64(32)) % U64(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 edge = np.searchsorted(bucket[by], np.arange(buckets + 1))
-                sig_a, size_a, lead_a = np.array(sigs, np.int64), np.array(sizes, np.int32), np.array(leads)
+                sig_a, size_a, lead_a = np.array(sigs, np.int64), np.array(sizes, np.int32), np.concatenate([np.array(leads), np.array(maps)], 1)
                 rows = []
                 for b in np.flatnonzero(np.diff(edge)).tolist():
                     own = by[edge[b] : edge[b + 1]]
@@ -157,10 +192,10 @@ def _postings(docs: DataFrame, id_column: str, text_column: str, width: int, per
     return arrow_map(docs.select(id_column, text_column), run, "bucket long, sig binary, n binary, lead binary, key binary, who binary, place binary")
 
 
-def list_pairs(key: np.ndarray, who: np.ndarray, place: np.ndarray, size: np.ndarray, lead: np.ndarray, percent: int):
+def list_pairs(key: np.ndarray, who: np.ndarray, place: np.ndarray, size: np.ndarray, lead: np.ndarray, maps: np.ndarray, percent: int):
     """Candidate pairs of sets from index lists: yields (list block, first, second) arrays.
 
-    ``key``, ``who``, ``place``: postings; ``size``, ``lead``: by set.
+    ``key``, ``who``, ``place``: postings; ``size``, ``lead``, ``maps``: by set.
     """
     by = np.lexsort((who, size[who], key))
     key, who, place = key[by], who[by], place[by]
@@ -184,6 +219,9 @@ def list_pairs(key: np.ndarray, who: np.ndarray, place: np.ndarray, size: np.nda
             need = _need(n[i] + n[j], percent)
             reach = 1 + np.minimum(n[i] - 1 - place[i], n[j] - 1 - place[j])  # what the rest of both can add
             ok = reach >= need
+            i, j, need = i[ok], j[ok], need[ok]
+            apart = np.bitwise_count(maps[who[i]] ^ maps[who[j]]).sum(1, dtype=np.int64)
+            ok = apart <= n[i] + n[j] - 2 * need
             i, j = i[ok], j[ok]
             same = (lead[who[i]][:, :, None] == lead[who[j]][:, None, :]) & (lead[who[i]] != 0)[:, :, None]
             chosen = np.where(same, lead[who[i]][:, :, None], ~U64(0)).reshape(len(i), -1).min(1) if len(i) else key[:0]
@@ -206,20 +244,38 @@ def _candidates(postings: DataFrame, buckets: int, percent: int) -> DataFrame:
             rows = held.pop(bucket)
             shift = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])])
             sig, back = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
-            size, lead = np.zeros(len(sig), np.int64), np.zeros((len(sig), LEADERS), U64)
+            size, lead = np.zeros(len(sig), np.int64), np.zeros((len(sig), LEADERS + MAP_BITS // 64), U64)
             size[back] = np.concatenate([r[1] for r in rows])
-            lead[back] = np.concatenate([r[2].reshape(-1, LEADERS) for r in rows])
+            lead[back] = np.concatenate([r[2].reshape(-1, LEADERS + MAP_BITS // 64) for r in rows])
             key = np.concatenate([r[3] for r in rows])
             who = back[np.concatenate([r[4] + s for r, s in zip(rows, shift)])]
             place = np.concatenate([r[5] for r in rows]).astype(np.int64)
             del rows
-            for block, i, j in list_pairs(key, who, place, size, lead, percent):
+            for block, i, j in list_pairs(key, who, place, size, lead[:, :LEADERS], lead[:, LEADERS:], percent):
                 x, y = sig[i], sig[j]
                 yield pa.RecordBatch.from_arrays([pa.array(block.view(np.int64)), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["block", "x", "y"])
 
     return arrow_map(postings.repartition(buckets, "bucket"), run, "block long, x long, y long")
 
 
+def _close(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+    """The pairs, each in one block, whose full maps don't rule them out."""
+    once = pairs.groupBy("x", "y").agg(F.min("block").alias("block"))
+    asked = pairs.select(F.explode(F.array("x", "y")).alias("sig")).distinct()
+    maps = table.where("n > 0").join(asked, "sig", "left_semi").groupBy("sig").agg(F.first("n").alias("n"), F.first("map").alias("map"))
+    one, other = (maps.select(F.col("sig").alias(c), F.col("n").alias(f"n{c}"), F.col("map").alias(f"map{c}")) for c in "xy")
+
+    def run(batches):
+        for batch in batches:
+            nx, ny = batch.column(3).to_numpy(), batch.column(5).to_numpy()
+            most = nx + ny - 2 * _need(nx + ny, percent)
+            a, b = batch.column(4), batch.column(6)
+            keep = [maps_apart(np.frombuffer(a[k].as_buffer(), U64), np.frombuffer(b[k].as_buffer(), U64)) <= m for k, m in enumerate(most.tolist())]
+            yield batch.select(["block", "x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    return arrow_map(once.join(one, "x").join(other, "y").select("block", "x", "y", "nx", "mapx", "ny", "mapy"), run, "block long, x long, y long")
+
+
 class Known:
     """Sets that are described by what one of them lacks or has beyond a base set."""
 
@@ -305,9 +361,11 @@ def similar(docs: DataFrame, width: int = 3, percent: int = 70, id_column: str =
     classes = table.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("rows"))
     total = table.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).alias("p")).first()["p"] or 0
     parallel = shuffle_partitions(spark)
-    buckets = int(max(parallel, -(-total // BUCKET_POSTINGS)))
+    buckets = int(max(LEAST_BUCKETS, -(-total // BUCKET_POSTINGS)))
     order = spark.sparkContext.broadcast((known, times))
-    pairs = stored(_candidates(_postings(source, "id", "text", width, percent, order, buckets), buckets, percent))
+    found = stored(_candidates(_postings(source, "id", "text", width, percent, order, buckets), buckets, percent))
+    pairs = stored(_close(found, table, percent))
+    discard(found)
     # the classes in question, each by the text of its least id
     ends = pairs.select("block", F.explode(F.array("x", "y")).alias("sig")).distinct()
     asked = stored(ends.select("sig").distinct().join(classes, "sig").join(table.groupBy("sig").agg(F.first("n").alias("n")), "sig"))
@@ -353,7 +411,7 @@ def similar(docs: DataFrame, width: int = 3, percent: int = 70, id_column: str =
     reached = components(edge.select("u", "v").where("u is not null and v is not null"))
     by_class = classes.join(counted, "sig", "left").join(reached.select(F.col("node").alias("rep"), "component"), "rep", "left")
     by_class = by_class.select("sig", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("near"), F.coalesce("component", "rep").alias("component"))
-    out = table.join(by_class, "sig", "left")
+    out = table.drop("map").join(by_class, "sig", "left")
     return out.select(F.col("id").cast(kind).alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("near", F.lit(0)).cast("long").alias("n_similar"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).cast(kind).alias("component_id"))
 
 
