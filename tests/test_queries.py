@@ -4,6 +4,7 @@ import os
 import subprocess
 import sys
 
+import pandas as pd
 import pytest
 
 DATA = "/root/testdata/sf0.001"
@@ -27,7 +28,7 @@ def duck():
 
 def values(df):
     df = df[sorted(df.columns)].astype(object)
-    return sorted(map(str, ([None if v is None or v != v else int(v) if isinstance(v, float) and v.is_integer() else v for v in row] for row in df.itertuples(index=False, name=None))))
+    return sorted(map(str, ([None if pd.isna(v) else int(v) if isinstance(v, float) and v.is_integer() else v for v in row] for row in df.itertuples(index=False, name=None))))
 
 
 @pytest.mark.parametrize("name", CHECKED)
