@@ -31,7 +31,7 @@ BUCKET_POSTINGS = 2_000_000
 #: Leading shingles that decide which list gives a pair.
 LEADERS = 3
 #: Bits of a set's parity map, from which a bound on any two sets' difference follows.
-MAP_BITS = 256
+MAP_BITS = 512
 #: Buckets at least, so that a small input has some tasks.
 LEAST_BUCKETS = 12
 #: Rows of a list that are checked together.
@@ -251,9 +251,29 @@ def _candidates(postings: DataFrame, buckets: int, percent: int) -> DataFrame:
             who = back[np.concatenate([r[4] + s for r, s in zip(rows, shift)])]
             place = np.concatenate([r[5] for r in rows]).astype(np.int64)
             del rows
+
+            def once(parts, sig=sig):
+                """Each pair of the bucket once, with one of its blocks."""
+                code, block = (np.concatenate(x) for x in zip(*parts))
+                code, first = np.unique(code, return_index=True)
+                return code, block[first]
+
+            def out(code, block, sig=sig):
+                x, y = sig[code // len(sig)], sig[code % len(sig)]
+                return pa.RecordBatch.from_arrays([pa.array(block.view(np.int64)), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["block", "x", "y"])
+
+            parts, waiting = [], 0
             for block, i, j in list_pairs(key, who, place, size, lead[:, :LEADERS], lead[:, LEADERS:], percent):
-                x, y = sig[i], sig[j]
-                yield pa.RecordBatch.from_arrays([pa.array(block.view(np.int64)), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["block", "x", "y"])
+                parts.append((np.minimum(i, j) * len(sig) + np.maximum(i, j), block))
+                waiting += len(i)
+                if waiting > 4_000_000:
+                    parts = [once(parts)]
+                    waiting = len(parts[0][0])
+                    if waiting > 3_000_000:  # more than a task should hold: later stages drop what repeats
+                        yield out(*parts[0])
+                        parts, waiting = [], 0
+            if parts:
+                yield out(*once(parts))
 
     return arrow_map(postings.repartition(buckets, "bucket"), run, "block long, x long, y long")
 
