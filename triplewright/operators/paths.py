@@ -2,7 +2,8 @@
 
 ``edges`` is (``s``, ``o``).  A round follows several hops in one plan, removes
 what was reached before, and writes the new nodes to the shared folder; it ends
-when a round adds nothing.  The start is not taken as reached: with ``+`` it is
+when a round adds nothing.  The edges are written there once, distinct, since
+every hop reads them.  The start is not taken as reached: with ``+`` it is
 in the result only if a cycle leads back to it.
 """
 
@@ -43,7 +44,7 @@ def reach(edges: DataFrame, starts: DataFrame, reflexive: bool = False, backward
     no starts or no edges reach nothing.
     """
     here, there = ("o", "s") if backward else ("s", "o")
-    hop = edges.where("s is not null and o is not null").select(F.col(here).alias("node"), F.col(there).alias("to")).distinct()
+    hop = stored(edges.where("s is not null and o is not null").select(F.col(here).alias("node"), F.col(there).alias("to")).distinct())
     starts = starts.select("node").where("node is not null").distinct()
     out = _loop(starts, lambda f: f.join(hop, "node").select(F.col("to").alias("node")), ["node"])
     return out.unionByName(starts).distinct() if reflexive else out
@@ -55,7 +56,7 @@ def reach_pairs(edges: DataFrame, starts: DataFrame | None = None, reflexive: bo
     Without ``starts``, every node that has an edge in that direction is one.
     """
     here, there = ("o", "s") if backward else ("s", "o")
-    hop = edges.where("s is not null and o is not null").select(F.col(here).alias("node"), F.col(there).alias("to")).distinct()
+    hop = stored(edges.where("s is not null and o is not null").select(F.col(here).alias("node"), F.col(there).alias("to")).distinct())
     starts = (hop.select("node") if starts is None else starts.select("node").where("node is not null")).distinct()
     first = starts.select(F.col("node").alias("start"), "node")
     out = _loop(first, lambda f: f.join(hop, "node").select("start", F.col("to").alias("node")), ["start", "node"])
