@@ -278,3 +278,96 @@ register("D07_clusters", lambda s, d: graph(s, d, ["peer_of"]).use_cluster("work
 register("D08_set_name", lambda s, d: _named(s, d).set_name("nation/3", "Third", "en").names, "SELECT node, lang, CASE WHEN node = 'nation/3' THEN 'Third' ELSE name END AS name FROM names")
 register("D09_merge_nodes", lambda s, d: graph(s, d, ["located_in"]).merge_nodes("region/1", "region/2").triples.select("s", "p", "o"), "SELECT s, p, CASE WHEN o = 'region/1' THEN 'region/2' ELSE o END AS o FROM triples WHERE p = 'located_in'")
 register("T02_import_again", lambda s, d: (lambda g: g.insert_triples(triples(s, d, ["has_segment"])).predicate_usage())(graph(s, d, ["has_segment"])), "SELECT p, count(*) AS n FROM triples WHERE p = 'has_segment' GROUP BY p")
+
+# -- files, networks, streams
+def _folder(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from triplewright.storage import shared_dir
+
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _csv_again(spark: SparkSession, d: str) -> DataFrame:
+    from triplewright.sources.tables import csv_triples
+
+    path = _folder(spark, "csv")
+    triples(spark, d, ["has_type", "located_in"]).write.csv(path, header=True)
+    return csv_triples(spark, path)
+
+
+def _json_again(spark: SparkSession, d: str) -> DataFrame:
+    from triplewright.sources.tables import write_json
+
+    path = _folder(spark, "json")
+    write_json(SparqlPlan(triples(spark, d, ["has_size"])).run("SELECT ?x ?n { ?x has_size ?n FILTER (?n > 40) }"), path)
+    return spark.read.schema("x string, n string").json(path)
+
+
+def _snapshot(spark: SparkSession, d: str, **part) -> DataFrame:
+    path = _folder(spark, "graph")
+    graph(spark, d, ["located_in", "peer_of", "has_type"]).save(path)
+    return Graph.load(spark, path, **part).triples.select("s", "p", "o")
+
+
+def _entity_dump(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as entities of a dump, written and imported again."""
+    from triplewright.sources.entities import direct, entities
+
+    path = _folder(spark, "dump")
+    line = "concat('{\"id\":\"N', n_nationkey, '\",\"type\":\"item\",\"labels\":{},\"claims\":{\"P1\":[{\"mainsnak\":{\"snaktype\":\"value\",\"property\":\"P1\",\"datavalue\":{\"value\":{\"id\":\"R', n_regionkey, '\"},\"type\":\"x\"}},\"id\":\"c\",\"rank\":\"normal\"}]}},')"
+    spark.read.parquet(f"{d}/nation.parquet").selectExpr(f"{line} AS value").write.text(path, compression="bzip2")
+    return direct(entities(spark, path))
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    from triplewright.sources.reports import deductions, decode, encode
+
+    g, _ = graph(spark, d, ["peer_of"], "(A peer_of B) => (B after A)").infer()
+    return decode(*encode(deductions(g)))
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    from triplewright.sources.reports import pages
+
+    return pages(graph(spark, d, ["peer_of"]))
+
+
+def _forward(spark: SparkSession, d: str) -> DataFrame:
+    """Parts' sizes, less 25, through the synapses from parts to suppliers and on to nations."""
+    from triplewright.operators.neural import forward
+
+    inputs = triples(spark, d, ["has_size"]).select(F.lit(0).alias("sample"), F.col("s").alias("node"), (F.col("o").cast("double") - 25).alias("value"))
+    first = triples(spark, d, ["supplies"]).select(F.col("o").alias("src"), F.col("s").alias("dst"), F.lit(1.0).alias("w"))
+    second = triples(spark, d, ["located_in"]).where("s like 'supplier/%'").select(F.col("s").alias("src"), F.col("o").alias("dst"), F.lit(2.0).alias("w"))
+    layers = [first.select(F.col("dst").alias("node")).distinct(), second.select(F.col("dst").alias("node")).distinct()]
+    return forward(first.unionAll(second), inputs, layers).select("node", "value")
+
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    """The chains of turns in files that arrive in three batches, each inferred on from the last."""
+    from triplewright.streaming.incremental import Incremental
+
+    path, done = _folder(spark, "stream"), _folder(spark, "progress")
+    steps = Incremental(Graph.empty(spark).add("(A next_turn B) => (A before B)", "(A before B, B next_turn C) => (A before C)"))
+    turns = triples(spark, d, ["next_turn"]).withColumn("part", F.pmod(F.xxhash64("s"), F.lit(3)))
+    for k in range(3):
+        turns.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(path)
+        query = steps.start(spark.readStream.schema("s string, p string, o string").parquet(path), done)
+        query.awaitTermination()
+    return steps.graph.triples.where("p = 'before'").select("s", "o")
+
+
+register("IO1_entity_dump", lambda s, d: _entity_dump(s, d), "SELECT 'N' || n_nationkey AS s, 'P1' AS p, 'R' || n_regionkey AS o, 'normal' AS rank FROM nation")
+register("IO6_csv", _csv_again, f"SELECT {_SPO}p IN ('has_type', 'located_in')")
+register("IO8_json", _json_again, "SELECT s AS x, o AS n FROM triples WHERE p = 'has_size' AND CAST(o AS DOUBLE) > 40")
+register("IO9_snapshot", lambda s, d: _snapshot(s, d), f"SELECT {_SPO}p IN ('located_in', 'peer_of', 'has_type')")
+register("IO10_part_by_predicate", lambda s, d: _snapshot(s, d, predicates=["peer_of"]), f"SELECT {_SPO}p = 'peer_of'")
+register("IO10_part_by_node", lambda s, d: _snapshot(s, d, nodes=["nation/3"]), f"SELECT {_SPO}p IN ('located_in', 'peer_of', 'has_type') AND (s = 'nation/3' OR o = 'nation/3')")
+register("IO13_deduction_log", _log, "SELECT '(' || s || ' peer_of ' || o || ') => (' || o || ' after ' || s || ')' AS text FROM triples WHERE p = 'peer_of'")
+register("IO14_pages", _pages, "SELECT s AS node, '# ' || s || chr(10) || chr(10) || '- peer_of ' || o || chr(10) AS page FROM triples WHERE p = 'peer_of'")
+register("N04_forward", _forward, "WITH h AS (SELECT a.s AS node, greatest(sum(CAST(b.o AS DOUBLE) - 25), 0) AS v FROM triples a JOIN triples b ON b.s = a.o AND b.p = 'has_size' WHERE a.p = 'supplies' GROUP BY a.s) SELECT t.o AS node, CAST(sum(2 * coalesce(h.v, 0)) AS DOUBLE) AS value FROM triples t LEFT JOIN h ON h.node = t.s WHERE t.p = 'located_in' AND t.s LIKE 'supplier/%' GROUP BY t.o")
+register("R19_rule_from_parts", lambda s, d: graph(s, d, ["in_lang", "has_quality"]).rule(["A in_lang L", "A has_quality Q"], "A rated L").infer()[1].new.selectExpr("s", "objects[0] AS o"), "SELECT a.s, a.o FROM triples a WHERE a.p = 'in_lang' AND a.s IN (SELECT s FROM triples WHERE p = 'has_quality')")
+register("R21_syntax", lambda s, d: Graph.empty(s).add('("a b" likes <12>)', ":marked x", "(:marked X, Y likes <2 1>) => (X met Y)").infer()[1].new.selectExpr("s", "p", "objects[0] AS o"), "SELECT 'x' AS s, 'met' AS p, 'a b' AS o")
+register("T01_incremental", _stream, _PAIRS.format(p="next_turn", more="") + "SELECT a AS s, b AS o FROM r")
+register("X02_own_language", lambda s, d: graph(s, d, ["peer_of"]).register_language("PEERS", lambda g, text: g.targets(text.split()[1], "peer_of")).query("PEERS nation/3"), "SELECT 'nation/4' AS node")
