@@ -27,7 +27,7 @@ ORDERED_SHINGLES = 1 << 20
 #: Frequent shingles that one task reports.
 TASK_SHINGLES = 100_000
 #: Postings that a bucket of lists holds, about.
-BUCKET_POSTINGS = 2_000_000
+BUCKET_POSTINGS = 4_000_000
 #: Leading shingles that decide which list gives a pair.
 LEADERS = 3
 #: Bits of a set's parity map, from which a bound on any two sets' difference follows.
@@ -71,8 +71,8 @@ def parity_map(s: np.ndarray, bits: int = MAP_BITS) -> np.ndarray:
 
 
 def full_map(s: np.ndarray) -> np.ndarray:
-    """A parity map of two to four bits for each hash: all but the last few hundredths of similarity can be told from two."""
-    return parity_map(s, max(64, 1 << int(2 * len(s) - 1).bit_length()))
+    """A parity map of one to two bits for each hash: enough to tell most pairs below the wanted similarity."""
+    return parity_map(s, max(64, 1 << int(len(s) - 1).bit_length()))
 
 
 def maps_apart(a: np.ndarray, b: np.ndarray) -> int:
@@ -204,24 +204,25 @@ def list_pairs(key: np.ndarray, who: np.ndarray, place: np.ndarray, size: np.nda
     key, who, place = key[keep], who[keep], place[keep]
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     length = np.diff(np.append(start, len(key)))
-    stop = np.repeat(start + length, length)
-    rank = np.arange(len(key)) - np.repeat(start, length)
-    n = size[who].astype(np.int64)
+    stop = np.repeat((start + length).astype(np.int32), length)
+    rank = np.arange(len(key), dtype=np.int32) - np.repeat(start.astype(np.int32), length)
+    n = size[who]
     live = np.flatnonzero(np.arange(len(key)) + 1 < stop)
     step = 1
     while len(live):
         # lists are sorted by size: from the first set that is too large on, a list is skipped
         live = live[live + step < stop[live]]
-        live = live[100 * n[live] >= percent * n[live + step]]
+        live = live[100 * n[live].astype(np.int64) >= percent * n[live + step].astype(np.int64)]
         for part in range(0, len(live), 1 << 20):
             i = live[part : part + (1 << 20)]
             j = i + step
-            need = _need(n[i] + n[j], percent)
-            reach = 1 + np.minimum(n[i] - 1 - place[i], n[j] - 1 - place[j])  # what the rest of both can add
+            ni, nj = n[i].astype(np.int64), n[j].astype(np.int64)
+            need = _need(ni + nj, percent)
+            reach = 1 + np.minimum(ni - 1 - place[i], nj - 1 - place[j])  # what the rest of both can add
             ok = reach >= need
-            i, j, need = i[ok], j[ok], need[ok]
+            i, j, most = i[ok], j[ok], (ni + nj - 2 * need)[ok]
             apart = np.bitwise_count(maps[who[i]] ^ maps[who[j]]).sum(1, dtype=np.int64)
-            ok = apart <= n[i] + n[j] - 2 * need
+            ok = apart <= most
             i, j = i[ok], j[ok]
             same = (lead[who[i]][:, :, None] == lead[who[j]][:, None, :]) & (lead[who[i]] != 0)[:, :, None]
             chosen = np.where(same, lead[who[i]][:, :, None], ~U64(0)).reshape(len(i), -1).min(1) if len(i) else key[:0]
@@ -244,12 +245,12 @@ def _candidates(postings: DataFrame, buckets: int, percent: int) -> DataFrame:
             rows = held.pop(bucket)
             shift = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])])
             sig, back = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
-            size, lead = np.zeros(len(sig), np.int64), np.zeros((len(sig), LEADERS + MAP_BITS // 64), U64)
+            size, lead = np.zeros(len(sig), np.int32), np.zeros((len(sig), LEADERS + MAP_BITS // 64), U64)
             size[back] = np.concatenate([r[1] for r in rows])
             lead[back] = np.concatenate([r[2].reshape(-1, LEADERS + MAP_BITS // 64) for r in rows])
             key = np.concatenate([r[3] for r in rows])
-            who = back[np.concatenate([r[4] + s for r, s in zip(rows, shift)])]
-            place = np.concatenate([r[5] for r in rows]).astype(np.int64)
+            who = back.astype(np.int32)[np.concatenate([r[4] + np.int32(s) for r, s in zip(rows, shift)])]
+            place = np.concatenate([r[5] for r in rows])
             del rows
 
             def once(parts, sig=sig):
@@ -264,7 +265,7 @@ def _candidates(postings: DataFrame, buckets: int, percent: int) -> DataFrame:
 
             parts, waiting = [], 0
             for block, i, j in list_pairs(key, who, place, size, lead[:, :LEADERS], lead[:, LEADERS:], percent):
-                parts.append((np.minimum(i, j) * len(sig) + np.maximum(i, j), block))
+                parts.append((np.minimum(i, j).astype(np.int64) * len(sig) + np.maximum(i, j), block))
                 waiting += len(i)
                 if waiting > 4_000_000:
                     parts = [once(parts)]
