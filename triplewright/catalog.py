@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: predicate -> (table, subject, object, filter, distinct), in SQL that both engines read.
 VIEWS: list[tuple[str, str, str, str, str, bool]] = [
@@ -49,13 +50,25 @@ def _branch(p: str, table: str, s: str, o: str, where: str, distinct: bool) -> s
 TRIPLES_SQL = "triples AS (" + " UNION ALL ".join(_branch(*v) for v in VIEWS) + ")"
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def _table(spark: SparkSession, path: str) -> DataFrame:
+    """A table of the folder; its schema is read from the files once in a session's life."""
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
 def triples(spark: SparkSession, sf_dir: str, predicates: list[str] | None = None) -> DataFrame:
     """The tables under ``sf_dir`` as (``s``, ``p``, ``o``); with ``predicates``, only those."""
     chosen = [v for v in VIEWS if predicates is None or v[0] in predicates]
     parts = []
     for p, table, s, o, where, distinct in chosen:
-        tables = {table: spark.read.parquet(f"{sf_dir}/{table}.parquet")}
+        tables = {table: _table(spark, f"{sf_dir}/{table}.parquet")}
         parts.append(spark.sql(_branch(p, "{" + table + "}", s, o, where, distinct), **tables))
+    if not parts:
+        return spark.createDataFrame([], "s string, p string, o string")
     return reduce(DataFrame.unionAll, parts)
 
 

@@ -278,6 +278,17 @@ class SparqlPlan:
         return df.select(*names) if names else df.select(*[c for c in df.columns if c.startswith("__")][:0])
 
 
+def predicates(x) -> set[str] | None:
+    """The predicates that a query reads; None if a variable stands for one."""
+    if isinstance(x, Triple):
+        return {x.p.key} if isinstance(x.p, Const) else None
+    if isinstance(x, Closure):
+        return {x.predicate}
+    inner = x.elements if isinstance(x, Group) else x.branches if isinstance(x, Union_) else (x.group,) if isinstance(x, (Optional_, Minus)) else (x.where,) if isinstance(x, Select) else ()
+    found = [predicates(e) for e in inner]
+    return None if None in found else set().union(*found)
+
+
 def with_labels(rows: DataFrame, names: DataFrame, lang: str = "en") -> DataFrame:
     """Every column as ``key (label)`` where the node has a label in ``lang`` that differs from its key."""
     labels = names.where(F.col("lang") == lang).select(F.col("node").alias("__node"), F.col("name").alias("__label")).dropDuplicates(["__node"])

@@ -11,7 +11,8 @@ from triplewright.functions import numbers
 from triplewright.graph import Graph
 from triplewright.operators import paths
 from triplewright.plans.patterns import Matcher
-from triplewright.plans.sparql import SparqlPlan, with_labels
+from triplewright.plans.sparql import SparqlPlan, predicates as read_by, with_labels
+from triplewright.plans.sparql_ast import parse
 from triplewright.terms import fact_key_column
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,8 +36,10 @@ def register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str
 
 
 def ask(name: str, text: str, sql: str, predicates: list[str] | None = None) -> None:
-    """A SELECT query over the tables' triples."""
-    register(name, lambda spark, d: SparqlPlan(triples(spark, d, predicates)).run(text), sql)
+    """A SELECT query over the tables' triples; only the tables of predicates that it names are opened."""
+    q = parse(text)
+    named = predicates or read_by(q)
+    register(name, lambda spark, d: SparqlPlan(triples(spark, d, sorted(named) if named is not None else None)).select(q), sql)
 
 
 def pattern(name: str, text: str, sql: str, predicates: list[str], columns: list[str]) -> None:
