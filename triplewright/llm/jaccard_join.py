@@ -119,7 +119,7 @@ def signatures(docs: DataFrame, id_column: str, text_column: str, width: int) ->
                 yield pa.RecordBatch.from_arrays([ids.slice(a, k), pa.array(np.diff(edges)), pa.array(sig), none, maps], names=["id", "n", "sig", "times", "map"])
                 recent.append(sets)
                 size += len(sets)
-                if size > 3_000_000:
+                if size > 1_000_000:
                     kept_h, kept_n = fold(kept_h, kept_n, recent)
                     recent, size = [], 0
         if recent:
@@ -267,10 +267,10 @@ def _candidates(postings: DataFrame, buckets: int, percent: int) -> DataFrame:
             for block, i, j in list_pairs(key, who, place, size, lead[:, :LEADERS], lead[:, LEADERS:], percent):
                 parts.append((np.minimum(i, j).astype(np.int64) * len(sig) + np.maximum(i, j), block))
                 waiting += len(i)
-                if waiting > 4_000_000:
+                if waiting > 1_000_000:
                     parts = [once(parts)]
                     waiting = len(parts[0][0])
-                    if waiting > 3_000_000:  # more than a task should hold: later stages drop what repeats
+                    if waiting > 750_000:  # more than a task should hold: later stages drop what repeats
                         yield out(*parts[0])
                         parts, waiting = [], 0
             if parts:
