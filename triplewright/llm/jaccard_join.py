@@ -34,6 +34,8 @@ LEADERS = 3
 MAP_BITS = 512
 #: Buckets at least, so that a small input has some tasks.
 LEAST_BUCKETS = 12
+#: Parts in which a task reads its bucket's lists, one after the other.
+PARTS = 8
 #: Rows of a list that are checked together.
 BLOCK = 512
 #: Classes up to this number are sent to the scan that rereads their texts; more are joined to it.
@@ -263,8 +265,14 @@ def _candidates(postings: DataFrame, buckets: int, percent: int) -> DataFrame:
                 x, y = sig[code // len(sig)], sig[code % len(sig)]
                 return pa.RecordBatch.from_arrays([pa.array(block.view(np.int64)), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["block", "x", "y"])
 
+            def in_parts(key=key, who=who, place=place, size=size, lead=lead):
+                part = ((key >> U64(20)) % U64(PARTS)).astype(np.uint8)
+                for k in range(PARTS):
+                    own = part == k
+                    yield from list_pairs(key[own], who[own], place[own], size, lead[:, :LEADERS], lead[:, LEADERS:], percent)
+
             parts, waiting = [], 0
-            for block, i, j in list_pairs(key, who, place, size, lead[:, :LEADERS], lead[:, LEADERS:], percent):
+            for block, i, j in in_parts():
                 parts.append((np.minimum(i, j).astype(np.int64) * len(sig) + np.maximum(i, j), block))
                 waiting += len(i)
                 if waiting > 1_000_000:
