@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -61,12 +62,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release() -> None:
+    """Give memory that this worker has freed back to the system: an idle worker keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with numpy's wrap-around arithmetic unannounced."""
 
     def run(batches):
-        with np.errstate(over="ignore"):
-            yield from fn(batches)
+        try:
+            with np.errstate(over="ignore"):
+                yield from fn(batches)
+        finally:
+            release()
 
     return df.mapInArrow(run, schema)
 
