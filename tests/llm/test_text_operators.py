@@ -176,6 +176,22 @@ def test_jaccard_join_hot_lists(spark, monkeypatch):
     assert out == brute_links(data)
 
 
+def test_jaccard_join_unequal_frequencies(spark):
+    """Groups of 60 near copies of 7 to 15 words: a pair's shared leaders have different known frequencies."""
+    rng = random.Random(7)
+    data = {}
+    for n in range(7, 16):
+        base = [f"g{n}w{k}" for k in range(n)]
+        for _ in range(60):
+            w = base.copy()
+            for _ in range(rng.randint(0, 2)):
+                w[int(n * rng.random() ** 0.4)] = f"e{rng.randrange(4)}"
+            data[len(data)] = " ".join(w)
+    df = spark.createDataFrame(list(data.items()), "doc_id long, text string").repartition(4)
+    out = {k: (r["n_shingles"], r["n_similar"], r["component_id"]) for k, r in got(jaccard_join.similar(df)).items()}
+    assert out == brute_links(data)
+
+
 def test_maps_bound_the_difference():
     rng = np.random.default_rng(0)
     for _ in range(50):

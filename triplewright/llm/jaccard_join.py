@@ -226,9 +226,10 @@ def list_pairs(key: np.ndarray, who: np.ndarray, place: np.ndarray, size: np.nda
             apart = np.bitwise_count(maps[who[i]] ^ maps[who[j]]).sum(1, dtype=np.int64)
             ok = apart <= most
             i, j = i[ok], j[ok]
-            same = (lead[who[i]][:, :, None] == lead[who[j]][:, None, :]) & (lead[who[i]] != 0)[:, :, None]
-            chosen = np.where(same, lead[who[i]][:, :, None], ~U64(0)).reshape(len(i), -1).min(1) if len(i) else key[:0]
-            mine = ~same.any((1, 2)) | (chosen == key[i]) if len(i) else np.zeros(0, bool)
+            # the first common leader in the global order is the sets' first common shingle, the only one at which reach bounds what they share
+            leads = lead[who[i]]
+            shared = ((leads[:, :, None] == lead[who[j]][:, None, :]) & (leads != 0)[:, :, None]).any(2)
+            mine = ~shared.any(1) | (leads[np.arange(len(i)), shared.argmax(1)] == key[i])
             i, j = i[mine], j[mine]
             if len(i):
                 block = mix64(key[i] + U64(0x9E37) * (rank[i] // BLOCK).astype(U64) + U64(0x79B9) * (rank[j] // BLOCK).astype(U64) * U64(65537))
