@@ -257,6 +257,14 @@ def test_secret_patterns(spark):
     assert got(clean)[7]["text"] == cases[7][0]
 
 
+def test_secret_values():
+    key = "zX9kQ2vB7nM4wP8rT6yL3cF5"
+    forms = [f"export AUTH_KEY={key}", f"pwd={key}", f"private_key={key}", f"https://a.b/c?session={key}&x=1", f"session_id={key}==", f"id=17=auth={key}=more"]
+    for text, spans in zip(forms, secret_scan.find_spans(pa.array(forms), 0.8, 256)):
+        assert [text[s:e].rstrip("=") for s, e, _ in spans] == [key], text
+    assert list(secret_scan.find_spans(pa.array([f"colour={key}"]), 0.8, 256)) == [[]]
+
+
 # -- 4 and 8
 
 

@@ -16,6 +16,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{16,}")
+#: What follows a "=" within a candidate, with its padding.
+VALUE = re.compile(r"(?<==)[A-Za-z0-9+/_~-]{16,}(?:=+(?![A-Za-z0-9+/_~-]))?")
 SENSITIVE = re.compile(r"pass|pwd|secret|token|key|auth|bearer|credential|private|signature|session|cookie|login", re.IGNORECASE | re.ASCII)
 
 _WORDS = [w.encode() for w in ("passw", "secret", "token", "apikey", "api_key")]
@@ -87,15 +89,18 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], threshold: float,
         a, b = m.span()
         if any(s < b and a < e for s, e, _ in taken):
             continue
-        word = m.group()
-        if not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
+        name = SENSITIVE.search(text, max(0, a - 48), b)
+        if not name:
             continue
-        before = text[max(0, a - 48) : a]
-        if not SENSITIVE.search(before):
-            continue
-        around = text[max(0, a - reach) : a] + " " + text[b : b + reach]
-        if _NOVELTY[0].share(around, word) >= threshold:
-            out.append((a, b, "novel"))
+        for s, e in [(a, b), *(v.span() for v in VALUE.finditer(text, a, b))]:
+            word = text[s:e]
+            if name.end() > s or not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
+                continue
+            around = text[max(0, s - reach) : s] + " " + text[e : e + reach]
+            if _NOVELTY[0].share(around, word) >= threshold:
+                out.append((s, e, "novel"))
+                if e - s == b - a:
+                    break  # its values are in it
     return out
 
 
@@ -143,7 +148,7 @@ def scan(docs: DataFrame, threshold: float = 0.8, reach: int = 256, id_column: s
     Kinds ``assign``, ``access`` and ``hex`` are the patterns above.  ``novel``
     spans are further strings of 16 characters and more with letters and
     digits, in a sensitive place (a word such as ``auth`` in the 48 characters
-    before), whose marginal size under zstandard - primed with an identifier
+    before), or values after a ``=`` with such a word in the name, whose marginal size under zstandard - primed with an identifier
     dictionary and ``reach`` characters of surroundings on either side - is at
     least ``threshold`` of what a random string over the same kinds of
     characters would need.  Positions are code points, ends exclusive.
