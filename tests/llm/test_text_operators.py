@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import signal
 import zlib
 
 import numpy as np
@@ -265,6 +266,22 @@ def test_secret_values():
     assert list(secret_scan.find_spans(pa.array([f"colour={key}"]), 0.8, 256)) == [[]]
 
 
+@pytest.mark.parametrize("pair", [("a tok", "en b"), ("kawasaki", "A b"), ("a secre", "t = abcdefg")])
+def test_secrets_between_texts(pair):
+    """Texts that meet in a keyword: the scan goes on, and what follows is found."""
+    def late(*_):
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(5)
+    try:
+        out = list(secret_scan.find_spans(pa.array([*pair, "", "token=abcdefg"]), 0.8, 256))
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+    assert out == [[], [], [], [(0, 13, "assign")]]
+
+
 # -- 4 and 8
 
 

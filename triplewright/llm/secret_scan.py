@@ -128,7 +128,7 @@ def find_spans(column: pa.Array, threshold: float, reach: int):
             while k >= 0:
                 row = int(np.searchsorted(offsets, k, "right")) - 1
                 hit[row] = True
-                k = lower.find(word, int(offsets[row + 1]) - len(word) + 1)  # on to the next text
+                k = lower.find(word, int(offsets[row + 1]))  # on to the next text
         hit |= _long_run(_HEX_LUT[data], 24, offsets)
         maybe = _long_run(_RUN_LUT[data], 16, offsets)
         for k in range(len(texts)):
