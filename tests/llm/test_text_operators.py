@@ -506,6 +506,15 @@ def test_pseudo_likelihood(spark, docs, rows, empty):
     assert pseudo_lm.score(empty).count() == 0
 
 
+def test_random_strings_score_below_words(spark):
+    rng = random.Random(8)
+    known = [f"word{k}" for k in range(6000)]
+    data = [" ".join(rng.choice(known) for _ in range(100)) for _ in range(500)]
+    junk = [" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(12)) for _ in range(100)) for _ in range(10)]
+    out = got(pseudo_lm.score(spark.createDataFrame(list(enumerate(data + junk)), "doc_id long, text string").coalesce(2)))
+    assert len(out) == 510 and max(out[500 + k]["mean_log_prob"] for k in range(10)) < min(out[k]["mean_log_prob"] for k in range(500)) - 0.5
+
+
 def test_network_gradient():
     rng = np.random.default_rng(0)
     vocabulary = pseudo_lm.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.log(np.full(pseudo_lm.WORDS, 1 / pseudo_lm.WORDS)))

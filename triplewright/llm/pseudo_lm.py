@@ -2,7 +2,8 @@
 
 Every word of a text is predicted from the two words on either side of it.
 Output is factored: a class of 64 words, then the word within it, over the
-corpus's most frequent words and 64 hashed buckets for the rest.
+corpus's most frequent words and 64 hashed buckets for the rest.  A word of
+the rest has its own share of its bucket, by its count in the whole corpus.
 """
 
 from __future__ import annotations
@@ -26,6 +27,12 @@ CONTEXT = 2 * REACH
 #: Words predicted in one step of training, and in one step of scoring.
 MINIBATCH, SCORE_BATCH = 1024, 8192
 CHUNK = 16_384
+#: Occurrences that every word of the rest, and one that wasn't counted, has besides its own.
+SMOOTH = 0.1
+#: Counted words in a part of the rest, about, and parts at least.
+PART_WORDS, LEAST_PARTS = 2_000_000, 12
+#: Counts that are handed on together.
+COUNTS = 200_000
 
 
 class Vocabulary(NamedTuple):
@@ -77,19 +84,90 @@ def count_words(docs: DataFrame, text_column: str) -> DataFrame:
     return arrow_map(docs.select(text_column), run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, text_column: str) -> Vocabulary:
+class Rest(NamedTuple):
+    """All words' counts, as a table; and by bucket, occurrences and words of the rest."""
+
+    counted: DataFrame
+    n: np.ndarray
+    words: np.ndarray
+
+
+def vocabulary(docs: DataFrame, text_column: str) -> tuple[Vocabulary, Rest]:
     """The corpus's ``NAMED`` most frequent words, in order of frequency, and how often all others occur by bucket."""
     counted = stored(count_words(docs, text_column))
     top = counted.orderBy(F.desc("n"), "h").limit(NAMED).toPandas()
-    rest = counted.groupBy((F.col("h").bitwiseAND(F.lit(PER_CLASS - 1))).alias("bucket")).agg(F.sum("n").alias("n")).toPandas()
+    rest = counted.groupBy((F.col("h").bitwiseAND(F.lit(PER_CLASS - 1))).alias("bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).toPandas()
     h, n = top["h"].to_numpy(np.int64).view(U64), top["n"].to_numpy(np.int64)
     share = np.zeros(WORDS)
     share[: len(n)] = n
     share[NAMED + rest["bucket"].to_numpy(np.int64)] = rest["n"].to_numpy(np.int64)
     np.subtract.at(share, NAMED + (h & U64(PER_CLASS - 1)).astype(np.int64), n)
+    words = np.zeros(PER_CLASS, np.int64)
+    words[rest["bucket"].to_numpy(np.int64)] = rest["words"].to_numpy(np.int64)
+    np.subtract.at(words, (h & U64(PER_CLASS - 1)).astype(np.int64), 1)
+    left = share[NAMED:].copy()
     order = np.argsort(h)
     share = np.maximum(share, 0) + 0.1
-    return Vocabulary(h[order], np.arange(len(h))[order], np.log(share / share.sum()).astype(np.float32))
+    return Vocabulary(h[order], np.arange(len(h))[order], np.log(share / share.sum()).astype(np.float32)), Rest(counted, left, words)
+
+
+def _part(h: np.ndarray, parts: int) -> np.ndarray:
+    return ((h >> U64(32)) % U64(parts)).astype(np.int64)
+
+
+def rest_shares(asked: DataFrame, rest: Rest, parts: int) -> DataFrame:
+    """(``row``, ``log_rest``): for each row, the log-shares of its rest words within their buckets, added up.
+
+    ``asked``: blobs of (``part``, ``row``, ``h``, ``who``, ``word``): the words
+    of a part of the hashes that some rows hold, and for each occurrence the
+    row, counted from ``row``, and the word's place in ``h``.
+    """
+    log_total = np.log(rest.n + SMOOTH * (rest.words + 1))
+
+    def blobs(batches):
+        held, size = [], 0
+
+        def out():
+            h, n = (np.concatenate(x) for x in zip(*held))
+            part = _part(h.view(U64), parts)
+            rows = [(p, h[part == p].tobytes(), n[part == p].tobytes()) for p in np.unique(part).tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["part", "h", "who"])
+
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            size += batch.num_rows
+            if size >= COUNTS:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    def run(batches):
+        part, counts, table = None, [], None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                p, row, h, who, word = (batch.column(c)[k] for c in range(5))
+                if p.as_py() != part:
+                    part, counts, table = p.as_py(), [], None
+                h = np.frombuffer(h.as_buffer(), U64)
+                if not row.is_valid:  # counts come before the words asked for
+                    counts.append((h, np.frombuffer(who.as_buffer(), np.int64)))
+                    continue
+                if table is None:
+                    known, n = (np.concatenate(x) for x in zip(*counts)) if counts else (np.zeros(1, U64), np.zeros(1, np.int64))
+                    by = np.argsort(known)
+                    table, counts = (known[by], n[by]), []
+                at = np.minimum(np.searchsorted(table[0], h), len(table[0]) - 1)
+                n = np.where(table[0][at] == h, table[1][at], 0)
+                logs = np.log(n + SMOOTH) - log_total[(h & U64(PER_CLASS - 1)).astype(np.int64)]
+                who = np.frombuffer(who.as_buffer(), np.int32)
+                sums = np.bincount(who, logs[np.frombuffer(word.as_buffer(), np.int32)])
+                own = np.unique(who)
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64) + row.as_py()), pa.array(sums[own])], names=["row", "log_rest"])
+
+    counts = arrow_map(rest.counted, blobs, "part long, h binary, who binary").select("part", F.lit(None).cast("long").alias("row"), "h", "who", F.lit(None).cast("binary").alias("word"))
+    both = counts.unionByName(asked).repartition(parts, "part").sortWithinPartitions("part", F.asc_nulls_first("row"))
+    return arrow_map(both, run, "row long, log_rest double").groupBy("row").agg(F.sum("log_rest").alias("log_rest"))
 
 
 def _shapes() -> list[tuple[str, tuple[int, ...]]]:
@@ -269,7 +347,8 @@ def score(docs: DataFrame, stride: int = 8, rate: float = 0.01, seed: int = 0, i
     other columns don't matter; an empty table gives an empty result.
     """
     spark = session(docs.sparkSession)
-    words = vocabulary(docs, text_column)
+    words, rest = vocabulary(docs, text_column)
+    parts = int(max(LEAST_PARTS, -(-rest.words.sum() // PART_WORDS)))
     net = train(docs, words, text_column, stride, rate, seed)
     sent = spark.sparkContext.broadcast((words, net.flat))
     kind = docs.schema[id_column].dataType.simpleString()
@@ -277,11 +356,14 @@ def score(docs: DataFrame, stride: int = 8, rate: float = 0.01, seed: int = 0, i
     def run(batches):
         words, flat = sent.value
         net = Network(flat)
+        task = TaskContext.get()
+        row = (task.partitionId() if task else 0) << 33
         for batch in batches:
             column = batch.column(1)
             for a, b in slices(column):
                 found = find_words(as_texts(column.slice(a, b - a)))
-                numbers = words.look_up(found.hashes())
+                hashes = found.hashes()
+                numbers = words.look_up(hashes)
                 context = windows(numbers, found.first)
                 logs = np.zeros(len(numbers) + 1)
                 for k in range(0, len(numbers), SCORE_BATCH):
@@ -290,7 +372,23 @@ def score(docs: DataFrame, stride: int = 8, rate: float = 0.01, seed: int = 0, i
                 total = np.concatenate([[0], np.cumsum(logs)])
                 n = found.counts()
                 sums = np.where(n > 0, total[found.first[1:]] - total[found.first[:-1]], 0.0)
-                mean = pa.array(sums / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(sums), mean], names=[id_column, "n_words", "log_prob", "mean_log_prob"])
-
-    return arrow_map(docs.select(id_column, text_column), run, f"`{id_column}` {kind}, n_words long, log_prob double, mean_log_prob double")
+                none = [pa.nulls(len(n), t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(n))), batch.column(0).slice(a, b - a), pa.array(n), pa.array(sums), *none], names=names)
+                other = np.flatnonzero(numbers >= NAMED)
+                h, who = hashes[other], np.repeat(np.arange(len(n), dtype=np.int32), n)[other]
+                part = _part(h, parts)
+                by = np.argsort(part, kind="stable")
+                edge = np.searchsorted(part[by], np.arange(parts + 1))
+                for p in np.flatnonzero(np.diff(edge)).tolist():
+                    own = by[edge[p] : edge[p + 1]]
+                    u, back = np.unique(h[own], return_inverse=True)
+                    blob = [pa.array([x], pa.binary()) for x in (u.tobytes(), who[own].tobytes(), back.astype(np.int32).tobytes())]
+                    yield pa.RecordBatch.from_arrays([pa.array([row]), pa.nulls(1, batch.column(0).type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()), pa.array([p]), *blob], names=names)
+                row += len(n)
+
+    names = ["row", "id", "n_words", "log_prob", "part", "h", "who", "word"]
+    passed = stored(arrow_map(docs.select(id_column, text_column), run, f"row long, id {kind}, n_words long, log_prob double, part long, h binary, who binary, word binary"))
+    shares = rest_shares(passed.where("part is not null").select("part", "row", "h", "who", "word"), rest, parts)
+    log_prob = F.col("log_prob") + F.coalesce("log_rest", F.lit(0.0))
+    out = passed.where("part is null").select("row", "id", "n_words", "log_prob").join(shares, "row", "left")
+    return out.select(F.col("id").alias(id_column), "n_words", log_prob.alias("log_prob"), F.when(F.col("n_words") > 0, log_prob / F.col("n_words")).alias("mean_log_prob"))
