@@ -515,6 +515,18 @@ def test_random_strings_score_below_words(spark):
     assert len(out) == 510 and max(out[500 + k]["mean_log_prob"] for k in range(10)) < min(out[k]["mean_log_prob"] for k in range(500)) - 0.5
 
 
+def test_short_texts_are_learned_from(spark):
+    """With the registered query's parameters, and with a stride that short texts count in too."""
+    pairs = spark.range(100_000).selectExpr("id AS doc_id", "concat('x', id % 20, ' y', id % 20) AS text")
+    wrong = spark.range(20).selectExpr("id + 1000000 AS doc_id", "concat('x', id % 20, ' y', (id + 7) % 20) AS text")
+    table = pairs.unionByName(wrong).coalesce(1)
+    out = got(pseudo_lm.score(table))
+    good = [r["mean_log_prob"] for k, r in out.items() if k < 1000000]
+    assert min(good) > max(r["mean_log_prob"] for k, r in out.items() if k >= 1000000) and np.mean(good) > np.log(1 / 40) + 0.3
+    words, _ = pseudo_lm.vocabulary(table, "text")
+    assert (pseudo_lm.train(table.limit(500), words, "text", 8, 0.01, 0).flat != pseudo_lm.Network.fresh(words, 0).flat).any()
+
+
 def test_network_gradient():
     rng = np.random.default_rng(0)
     vocabulary = pseudo_lm.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.log(np.full(pseudo_lm.WORDS, 1 / pseudo_lm.WORDS)))

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from triplewright.llm.common import arrow_map, session, shuffle_partitions, stored
-from triplewright.llm.textops import U64, as_texts, find_words, slices
+from triplewright.llm.textops import U64, as_texts, find_words, mix64, slices
 
 CLASSES, PER_CLASS = 64, 64
 WORDS = CLASSES * PER_CLASS
@@ -264,8 +264,8 @@ def windows(numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, words: Vocabulary, text_column: str, stride: int, rate: float, seed: int) -> Network:
     """Every task trains a copy on its own texts, from the same start; the result is their mean by words seen.
 
-    Every ``stride``-th word of every text is a target, so what is learned
-    from, and what is gathered, grows with the corpus.  Copies are added up in
+    Every word of every text is a target, or with a ``stride`` about one in so
+    many, by a hash of text and place.  Copies are added up in
     two shuffles of 64 kB pieces; only the mean, about 1 MB, reaches the driver.
     """
     sent = docs.sparkSession.sparkContext.broadcast(words)
@@ -290,9 +290,14 @@ def train(docs: DataFrame, words: Vocabulary, text_column: str, stride: int, rat
             column = batch.column(0)
             for a, b in slices(column):
                 found = find_words(as_texts(column.slice(a, b - a)))
-                numbers = sent.value.look_up(found.hashes())
-                place = np.arange(len(numbers)) - np.repeat(found.first[:-1], found.counts())
-                chosen = np.flatnonzero((place + np.repeat(found.counts(), found.counts())) % stride == 0)
+                hashes = found.hashes()
+                numbers = sent.value.look_up(hashes)
+                chosen = np.arange(len(numbers))
+                if stride > 1:
+                    sums = np.concatenate([np.zeros(1, U64), np.cumsum(hashes, dtype=U64)])
+                    text = np.repeat(sums[found.first[1:]] - sums[found.first[:-1]], found.counts())
+                    place = (chosen - np.repeat(found.first[:-1], found.counts())).astype(U64)
+                    chosen = np.flatnonzero(mix64(text + place) % U64(stride) == 0)
                 contexts.append(windows(numbers, found.first)[chosen])
                 targets.append(numbers[chosen])
                 held += len(chosen)
@@ -334,12 +339,12 @@ def train(docs: DataFrame, words: Vocabulary, text_column: str, stride: int, rat
     return Network(np.concatenate([np.frombuffer(r["data"], np.float32) for r in sorted(rows, key=lambda r: r["part"])]).copy())
 
 
-def score(docs: DataFrame, stride: int = 8, rate: float = 0.01, seed: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def score(docs: DataFrame, stride: int = 1, rate: float = 0.01, seed: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The pseudo-log-likelihood of every whole text: the id, ``n_words``, ``log_prob`` (summed), ``mean_log_prob``.
 
     Words are runs between spaces, A-Z as a-z.  Word counts are taken over all
-    documents, training uses every ``stride``-th word of all of them, and every
-    word of every text is scored.  Results vary in the last digits with how the
+    documents, training uses every word of all of them (one in ``stride``, if that is given),
+    and every word of every text is scored.  Results vary in the last digits with how the
     input is split into tasks, and are equal for equal splits.
 
     Null texts are empty; a text without words has no log-probability to add up
