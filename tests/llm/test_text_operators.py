@@ -282,6 +282,11 @@ def test_secrets_between_texts(pair):
     assert out == [[], [], [], [(0, 13, "assign")]]
 
 
+def test_secrets_beyond_base_spans():
+    text = "password=abcdef~zX9kQ2vB7nM4wP8r"
+    assert list(secret_scan.find_spans(pa.array([text]), 0.8, 256)) == [[(0, 15, "assign"), (15, 32, "novel")]]
+
+
 # -- 4 and 8
 
 

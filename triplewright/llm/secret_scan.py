@@ -87,20 +87,25 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], threshold: float,
     out = []
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if any(s < b and a < e for s, e, _ in taken):
-            continue
         name = SENSITIVE.search(text, max(0, a - 48), b)
         if not name:
             continue
-        for s, e in [(a, b), *(v.span() for v in VALUE.finditer(text, a, b))]:
+        rest, at = [], a  # what base spans leave of it
+        for s, e in sorted((s, e) for s, e, _ in taken if s < b and a < e):
+            rest.append((at, s))
+            at = max(at, e)
+        rest = [(s, e) for s, e in [*rest, (at, b)] if e - s >= 16]
+        whole = 0
+        for s, e in [x for r in rest for x in (r, *(v.span() for v in VALUE.finditer(text, *r)))]:
+            if e <= whole:
+                continue  # a value in what is reported
             word = text[s:e]
             if name.end() > s or not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
                 continue
             around = text[max(0, s - reach) : s] + " " + text[e : e + reach]
             if _NOVELTY[0].share(around, word) >= threshold:
                 out.append((s, e, "novel"))
-                if e - s == b - a:
-                    break  # its values are in it
+                whole = e
     return out
 
 
