@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from triplewright.storage import small_rows
+
 #: predicate -> (table, subject, object, filter, distinct), in SQL that both engines read.
 VIEWS: list[tuple[str, str, str, str, str, bool]] = [
     ("located_in", "nation", "'nation/' || n_nationkey", "'region/' || n_regionkey", "", False),
@@ -68,7 +70,7 @@ def triples(spark: SparkSession, sf_dir: str, predicates: list[str] | None = Non
         tables = {table: _table(spark, f"{sf_dir}/{table}.parquet")}
         parts.append(spark.sql(_branch(p, "{" + table + "}", s, o, where, distinct), **tables))
     if not parts:
-        return spark.createDataFrame([], "s string, p string, o string")
+        return small_rows(spark, [], "s string, p string, o string")
     return reduce(DataFrame.unionAll, parts)
 
 

@@ -18,6 +18,7 @@ from triplewright.plans.native import Rule, read
 from triplewright.plans.patterns import Matcher
 from triplewright.plans.rules import FACTS, Engine, Inference, triples_of
 from triplewright.plans.sparql import SparqlPlan
+from triplewright.storage import small_rows
 from triplewright.terms import NIL, Atom, Fact, SetTerm, Term, Var, compact_list, fact_key, fact_key_column, inner_facts, key, make_list
 
 NAMES = "node string, lang string, name string"
@@ -60,7 +61,7 @@ class Graph:
 
     @classmethod
     def empty(cls, spark: SparkSession) -> Graph:
-        return cls(spark, spark.createDataFrame([], FACTS), spark.createDataFrame([], NAMES), spark.createDataFrame([], "src string, dst string, w double"))
+        return cls(spark, small_rows(spark, [], FACTS), small_rows(spark, [], NAMES), small_rows(spark, [], "src string, dst string, w double"))
 
     # -- making facts
 
@@ -88,7 +89,7 @@ class Graph:
             for f in inner_facts(fact)[:-1]:
                 put(f, 1.0)
             put(fact, prob)
-        return self.spark.createDataFrame(list(out.values()), FACTS)
+        return small_rows(self.spark, list(out.values()), FACTS)
 
     def add(self, *facts: Fact | str, prob: float = 1.0) -> Graph:
         """Assert facts (terms, or text of the rule language; text of a rule is added as a rule)."""
@@ -174,7 +175,7 @@ class Graph:
         return "unknown" if not found or found[0]["prob"] == 0.5 else "correct" if found[0]["prob"] > 0.5 else "wrong"
 
     def closure(self, start: str, predicate: str, reflexive: bool = False, backward: bool = False) -> DataFrame:
-        return paths.reach(self.edges(predicate), self.spark.createDataFrame([(start,)], "node string"), reflexive, backward)
+        return paths.reach(self.edges(predicate), small_rows(self.spark, [(start,)], "node string"), reflexive, backward)
 
     def nodes(self) -> DataFrame:
         """Every node that a fact or a name mentions, with its kind."""
@@ -211,7 +212,7 @@ class Graph:
         self._own()
         other = self.names.where((F.col("lang") == lang) & (F.col("name") == name) & (F.col("node") != node)).select("node").collect()
         kept = self.names.where(~((F.col("node") == node) & (F.col("lang") == lang)))
-        out = replace(self, names=kept.unionByName(self.spark.createDataFrame([(node, lang, name)], NAMES)))
+        out = replace(self, names=kept.unionByName(small_rows(self.spark, [(node, lang, name)], NAMES)))
         for r in other:
             out = out.merge_nodes(r["node"], node)
         return out
@@ -294,7 +295,7 @@ class Graph:
     def statistics(self) -> DataFrame:
         """(``what``, ``n``): facts, nodes, rules, names by language."""
         fixed = self.facts.agg(F.count("*").alias("n")).select(F.lit("facts").alias("what"), "n").unionByName(self.nodes().agg(F.count("*").alias("n")).select(F.lit("nodes").alias("what"), "n"))
-        fixed = fixed.unionByName(self.spark.createDataFrame([("rules", len(self.rules))], "what string, n long"))
+        fixed = fixed.unionByName(small_rows(self.spark, [("rules", len(self.rules))], "what string, n long"))
         return fixed.unionByName(self.names.groupBy("lang").count().select(F.concat(F.lit("names "), "lang").alias("what"), F.col("count").alias("n")))
 
     # -- changing
@@ -333,7 +334,7 @@ class Graph:
 
     def remove_node(self, node: str) -> Graph:
         self._own()
-        return self._without(self.spark.createDataFrame([(node,)], "node string"))
+        return self._without(small_rows(self.spark, [(node,)], "node string"))
 
     def cleanup(self) -> Graph:
         """Without facts about facts that don't exist, and names of nodes that no fact mentions."""
@@ -383,7 +384,7 @@ class Graph:
         self.facts.withColumn("part", F.pmod(F.xxhash64("p"), F.lit(64))).repartition("part").sortWithinPartitions("p", "s").write.mode("overwrite").partitionBy("part").parquet(f"{path}/facts")
         self.names.write.mode("overwrite").parquet(f"{path}/names")
         self.synapses.write.mode("overwrite").parquet(f"{path}/synapses")
-        self.spark.createDataFrame([(r.name or None, repr(r)) for r in self.rules] or [], "text string, shown string").coalesce(1).write.mode("overwrite").parquet(f"{path}/rules")
+        small_rows(self.spark, [(r.name or None, repr(r)) for r in self.rules] or [], "text string, shown string").coalesce(1).write.mode("overwrite").parquet(f"{path}/rules")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, predicates: list[str] | None = None, nodes: list[str] | None = None, meta_only: bool = False) -> Graph:
@@ -392,7 +393,7 @@ class Graph:
         if meta_only:
             facts = facts.where(F.lit(False))
         if predicates is not None:
-            parts = [r["h"] for r in spark.createDataFrame([(p,) for p in predicates], "p string").select(F.pmod(F.xxhash64("p"), F.lit(64)).alias("h")).distinct().collect()]
+            parts = [r["h"] for r in small_rows(spark, [(p,) for p in predicates], "p string").select(F.pmod(F.xxhash64("p"), F.lit(64)).alias("h")).distinct().collect()]
             facts = facts.where(F.col("part").isin(parts) & F.col("p").isin(predicates))
         if nodes is not None:
             facts = facts.where(F.col("s").isin(nodes) | F.arrays_overlap("objects", F.array(*map(F.lit, nodes))))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from triplewright.storage import small_rows
+
 
 def forward(synapses: DataFrame, inputs: DataFrame, layers: list[DataFrame]) -> DataFrame:
     """Activations (``sample``, ``node``, ``value``) of the last layer, by one join and one aggregation a layer.
@@ -28,12 +30,12 @@ def connect(spark: SparkSession, synapses: DataFrame, sources: list[str], target
     """All missing synapses between two layers, with seeded weights in ``[-scale, scale]``; those that exist stay."""
     rng = np.random.default_rng(seed)
     wanted = [(a, b, float(rng.uniform(-scale, scale))) for a in sources for b in targets]
-    new = spark.createDataFrame(wanted, "src string, dst string, w double")
+    new = small_rows(spark, wanted, "src string, dst string, w double")
     return synapses.unionByName(new.join(synapses.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", "w"))
 
 
 def set_weight(synapses: DataFrame, src: str, dst: str, w: float) -> DataFrame:
-    one = synapses.sparkSession.createDataFrame([(src, dst, float(w))], "src string, dst string, w double")
+    one = small_rows(synapses.sparkSession, [(src, dst, float(w))], "src string, dst string, w double")
     return synapses.where(~((F.col("src") == src) & (F.col("dst") == dst))).unionByName(one)
 
 
@@ -90,12 +92,12 @@ class Compiled:
     def synapses(self, spark: SparkSession) -> DataFrame:
         """The weights as a table."""
         rows = [(a, b, float(w[i, j])) for x, y, w, m in zip(self.layers, self.layers[1:], self.weights, self.masks) for i, a in enumerate(x) for j, b in enumerate(y) if m[i, j]]
-        return spark.createDataFrame(rows, "src string, dst string, w double")
+        return small_rows(spark, rows, "src string, dst string, w double")
 
     def scores(self, spark: SparkSession) -> DataFrame:
         """(``s``, ``o``, ``score``) of every input node and output node, for conditions on the network in rules."""
         rows = [(a, b, float(np.clip(v, 0, 1))) for a in self.layers[0] for b, v in zip(self.layers[-1], self.evaluate(self.one_hot(0, a))[-1])]
-        return spark.createDataFrame(rows, "s string, o string, score double")
+        return small_rows(spark, rows, "s string, o string, score double")
 
 
 def link_predictor(spark: SparkSession, edges: DataFrame, hidden: int = 8, epochs: int = 150, rate: float = 0.2, seed: int = 0, most: int = 100_000) -> tuple[Compiled, float]:
@@ -109,7 +111,7 @@ def link_predictor(spark: SparkSession, edges: DataFrame, hidden: int = 8, epoch
         raise ValueError(f"more than {most} edges")
     sources, targets = sorted({r["s"] for r in rows}), sorted({r["o"] for r in rows})
     middle = [f"hidden/{k:04d}" for k in range(hidden)]
-    table = spark.createDataFrame([], "src string, dst string, w double")
+    table = small_rows(spark, [], "src string, dst string, w double")
     table = connect(spark, connect(spark, table, sources, middle, seed=seed), middle, targets, seed=seed + 1)
     net, loss, rng = Compiled(table, [sources, middle, targets]), 0.0, np.random.default_rng(seed)
     for _ in range(epochs):

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from triplewright.plans.native import Near, Not, Pattern, Rule, read
 from triplewright.plans.patterns import Matcher
-from triplewright.storage import stored
+from triplewright.storage import small_rows, stored
 from triplewright.terms import Fact, SetTerm, Term, Var, fact_key_column, key, variables
 
 FACTS = "fact_id string, s string, p string, objects array<string>, prob double, derived boolean, iter int, rule_id string, cluster string, premises array<string>"
@@ -106,7 +106,7 @@ class Engine:
             if not rule.heads:
                 contradictions.append(self.clashes(matcher.body(rule.body, proof=True).df, k))
         new = known.join(start.select("fact_id").distinct(), "fact_id", "left_anti")
-        return Inference(known, new, stored(reduce(DataFrame.unionByName, contradictions).distinct()), rounds) if contradictions else Inference(known, new, spark.createDataFrame([], "rule_id string, bindings array<string>, premises array<string>"), rounds)
+        return Inference(known, new, stored(reduce(DataFrame.unionByName, contradictions).distinct()), rounds) if contradictions else Inference(known, new, small_rows(spark, [], "rule_id string, bindings array<string>, premises array<string>"), rounds)
 
     # -- one round
 

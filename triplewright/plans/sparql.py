@@ -14,6 +14,7 @@ from triplewright.functions.values import compare, sort_keys
 from triplewright.operators import joins, paths
 from triplewright.operators.joins import Solutions
 from triplewright.plans.sparql_ast import Call, Closure, Compare, Const, Count, Group, Minus, Optional_, QueryError, Ref, Select, Triple, Union_, parse
+from triplewright.storage import small_rows
 
 
 class SparqlPlan:
@@ -75,7 +76,7 @@ class SparqlPlan:
         """A closure from one node, made once for a query."""
         k = (predicate, start, backward, reflexive)
         if k not in self.closures:
-            starts = self.triples.sparkSession.createDataFrame([(start,)], "node string")
+            starts = small_rows(self.triples.sparkSession, [(start,)], "node string")
             self.closures[k] = paths.reach(self.edges(predicate), starts, reflexive, backward)
         return self.closures[k]
 

@@ -13,6 +13,7 @@ from triplewright.operators import paths
 from triplewright.plans.patterns import Matcher
 from triplewright.plans.sparql import SparqlPlan, predicates as read_by, with_labels
 from triplewright.plans.sparql_ast import parse
+from triplewright.storage import small_rows
 from triplewright.terms import fact_key_column
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,7 +62,7 @@ def edges(spark: SparkSession, d: str, predicate: str) -> DataFrame:
 
 
 def _starts(spark: SparkSession, *nodes: str) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in nodes], "node string")
+    return small_rows(spark, [(n,) for n in nodes], "node string")
 
 
 # Disjointness culprits: suppliers' nations that lie under two things at once, and nothing above them does.
@@ -99,7 +100,7 @@ def _seeded(spark: SparkSession, d: str) -> DataFrame:
 register("A05_seeded_candidates", _seeded, "SELECT a.s AS \"A\", a.o AS \"B\", b.o AS \"N\" FROM triples a JOIN triples b ON a.o = b.s WHERE a.p = 'placed_by' AND b.p = 'located_in' AND b.o = 'nation/4'")
 register("A06_targets", lambda s, d: graph(s, d, ["contains_part"]).targets("order/3", "contains_part"), "SELECT DISTINCT o AS node FROM triples WHERE s = 'order/3' AND p = 'contains_part'")
 register("A07_sources", lambda s, d: graph(s, d, ["supplies"]).sources("supplies", "part/5"), "SELECT DISTINCT s AS node FROM triples WHERE o = 'part/5' AND p = 'supplies'")
-register("A08_exists", lambda s, d: s.createDataFrame([(graph(s, d, ["peer_of"]).exists("nation/3", "peer_of", "nation/4"), graph(s, d, ["peer_of"]).exists("nation/3", "peer_of", "nation/5"))], "yes boolean, no boolean"),
+register("A08_exists", lambda s, d: small_rows(s, [(graph(s, d, ["peer_of"]).exists("nation/3", "peer_of", "nation/4"), graph(s, d, ["peer_of"]).exists("nation/3", "peer_of", "nation/5"))], "yes boolean, no boolean"),
          "SELECT count(*) FILTER (WHERE o = 'nation/4') > 0 AS yes, count(*) FILTER (WHERE o = 'nation/5') > 0 AS no FROM triples WHERE s = 'nation/3' AND p = 'peer_of'")
 register("A09_named_nodes", lambda s, d: names(s, d).where("lang = 'en'").orderBy("node").limit(20), "SELECT node, lang, name FROM names WHERE lang = 'en' ORDER BY node LIMIT 20")
 register("A10_outgoing", lambda s, d: graph(s, d, ["located_in", "peer_of"]).outgoing("nation/3"), "SELECT 'subject' AS role, p, o AS other FROM triples WHERE s = 'nation/3' AND p IN ('located_in', 'peer_of') ORDER BY 1, 2, 3 LIMIT 20")

@@ -7,6 +7,7 @@ import html
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from triplewright.graph import Graph
+from triplewright.storage import small_rows
 
 #: The log's alphabet for compressed words: 4095 signs from here on.
 FIRST_SIGN, SIGNS = 0x4E00, 4095
@@ -88,7 +89,7 @@ def pages(graph: Graph) -> DataFrame:
 
 def drawing(spark: SparkSession, graph: Graph, node: str, depth: int = 2, most: int = 500) -> str:
     """An HTML page that draws the edges within ``depth`` steps of a node; raises if there are more than ``most``."""
-    edges, seen = graph.triples.select("s", "p", "o"), spark.createDataFrame([(node,)], "node string")
+    edges, seen = graph.triples.select("s", "p", "o"), small_rows(spark, [(node,)], "node string")
     found = None
     for _ in range(depth):
         step = edges.join(seen.withColumnRenamed("node", "s"), "s", "left_semi").unionAll(edges.join(seen.withColumnRenamed("node", "o"), "o", "left_semi").select("s", "p", "o")).distinct()
