@@ -130,6 +130,32 @@ def test_splitting_tree():
         assert (np.diff(shard[source == s]) >= 0).all()
     again = mixing.place(source[::-7], block[::-7], quota, 8, 3)
     assert (again == shard[::-7]).all()
+    assert mixing.place(np.array([2, 2, 0]), np.array([6, 7, 1000]), quota, 8, 3).tolist() == [shard[1306], -1, -1]
+
+
+def test_mixing_follows_the_drawn_blocks(docs, monkeypatch):
+    """What is taken is what shards draw: without the tree nothing is, with half of the quotas about half is."""
+    whole = got(mixing.mix_report(docs, shards=3))
+    with monkeypatch.context() as m:
+        m.setattr(mixing, "plan", lambda *a, own=mixing.plan: (lambda x: x._replace(quotas=[0 for _ in x.quotas]))(own(*a)))
+        assert all(r["taken"] == 0 for r in mixing.mix_report(docs, shards=3).collect())
+    assert sum(r["taken"] for r in whole.values()) > 0
+
+
+def test_mixing_many_sources(spark, monkeypatch):
+    """The draws take fewer than 10^9 blocks: many sources have fewer each."""
+    many = spark.range(3000).selectExpr("id", "cast(id as string) source", "10L AS size", "hash(id) + 0L AS h")
+    assert mixing.plan(many, (5, 2, 1)).block_bits == 10
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 40_000)
+    few = mixing.plan(many, (5, 2, 1))
+    assert few.block_bits == 2 and sum(few.quotas) <= 40_000
+
+
+def test_mixing_without_ids(spark):
+    rows = [(None, "s", f"w{k} " * (k % 9 + 1)) for k in range(400)] + [(7, "t", "a b c")] * 5
+    out = mixing.mix_report(spark.createDataFrame(rows, "doc_id long, source string, text string")).toPandas()
+    taken = out[out.doc_id.isna()].taken.sum()
+    assert abs(taken - out[out.doc_id.isna()].target.iloc[0]) <= 9 and set(out[out.doc_id == 7].taken) <= {0, 3, 6, 9} and out[out.doc_id == 7].taken.nunique() == 1
 
 
 # -- 2
@@ -193,6 +219,33 @@ def test_jaccard_join_unequal_frequencies(spark):
     assert out == brute_links(data)
 
 
+def test_jaccard_join_contained_sets(spark, monkeypatch):
+    """Prefixes, suffixes and quotations of repeated texts, so that leading shingles have known counts."""
+    monkeypatch.setattr(jaccard_join, "BUCKET_POSTINGS", 300)
+    rng = random.Random(11)
+    data = {}
+    for g in range(12):
+        base = [f"c{g}w{rng.randrange(400)}" for _ in range(rng.randint(8, 60))]
+        for _ in range(4):
+            data[len(data)] = " ".join(base)
+        for _ in range(26):
+            a, b = sorted((rng.randint(0, len(base) // 3), rng.randint(2 * len(base) // 3, len(base))))
+            w = rng.choice([base[:b], base[a:], base[a:b], ["said", *base], [*base, "end", f"e{rng.randrange(5)}"]])
+            data[len(data)] = " ".join(w)
+    df = spark.createDataFrame(list(data.items()), "doc_id long, text string").repartition(4)
+    expect = brute_links(data)
+    out = {k: (r["n_shingles"], r["n_similar"], r["component_id"]) for k, r in got(jaccard_join.similar(df)).items()}
+    assert out == expect and sum(v[1] for v in expect.values()) > 2000
+
+
+def test_jaccard_join_without_ids_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BROADCAST_CLASSES", 0)
+    base = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, base + " x"), (None, base), (None, base + " y z"), (4, "other words here"), (None, None)]
+    out = jaccard_join.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["n_shingles"], r["n_similar"], str(r["doc_id"])) for r in out) == [(0, 0, "None"), (1, 0, "4"), (38, 2, "None"), (39, 2, "1"), (40, 2, "None")]
+
+
 def test_maps_bound_the_difference():
     rng = np.random.default_rng(0)
     for _ in range(50):

@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-_OWN: list[str] = []
-
+from triplewright.storage import discard, small_table, stored  # noqa: F401
 
 def session(spark: SparkSession) -> SparkSession:
     """Bound what one Arrow batch holds, in rows and bytes, so that long texts don't add up."""
@@ -23,41 +18,6 @@ def session(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the cluster's ``spark.checkpoint.dir``.
-
-    Where the session names none, as in tests on one machine, a temporary one
-    is made and removed at exit.
-    """
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if given:
-        return given.rstrip("/")
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="shared-"))
-        atexit.register(shutil.rmtree, _OWN[0], True)
-    return _OWN[0]
-
-
-def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it back: what follows survives lost executors and isn't computed twice."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Remove the files of a ``stored`` table that nothing reads any more."""
-    spark = df.sparkSession
-    shared = shared_dir(spark)
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/table-" in name and shared.removeprefix("file://") in name:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -84,11 +44,6 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(run, schema)
 
 
-def text_table(df: DataFrame, *columns: str) -> DataFrame:
-    """Only what an operator reads, so that nothing else leaves the scan."""
-    return df.select(*columns)
-
-
 def crc_fold(column: str = "doc_id", folds: int = 5):
     """crc32 of the id as text, modulo ``folds``: a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds

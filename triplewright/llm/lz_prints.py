@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from triplewright.llm.common import arrow_map, session, shuffle_partitions, stored
+from triplewright.llm.common import arrow_map, session, shuffle_partitions, small_table, stored
 from triplewright.llm.textops import U64, mix64, span_hashes
 
 BINS = 64
@@ -158,11 +158,11 @@ def compare_neighbours(docs: DataFrame, id_column: str = "doc_id", text_column:
     first = with_range(light, "id", cuts).groupBy("__range").agg(F.max(F.struct(F.col("id").isNotNull().alias("has"), "id", "h")).alias("x"))
     tops = [(r["__range"], r["x"]["id"], r["x"]["h"]) for r in first.orderBy("__range").collect()]
     heads = [(tops[k - 1][1], tops[k - 1][2], tops[k][0]) for k in range(len(tops))]
-    head_table = spark.createDataFrame(heads, "__id long, __h long, __to int")
+    head_table = small_table(spark, dict(zip(("__id", "__h", "__to"), map(list, zip(*heads)))) if heads else {"__id": [], "__h": [], "__to": []}, "__id long, __h long, __to int")
     head_table = F.broadcast(head_table) if len(heads) <= BROADCAST_RANGES else head_table
     extra = whole.join(head_table, F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).select("id", "text", "h", F.col("__to").alias("__range")).dropDuplicates(["__range"])
     rows = with_range(whole, "id", cuts).withColumn("extra", F.lit(False)).unionByName(extra.withColumn("extra", F.lit(True)))
-    ordered = rows.repartition(max(1, len(tops)), "__range").sortWithinPartitions("__range", "extra", F.col("id").desc_nulls_last(), F.col("h").desc())
+    ordered = rows.repartitionById(len(cuts) + 2, F.col("__range") + 1).sortWithinPartitions("__range", "extra", F.col("id").desc_nulls_last(), F.col("h").desc())
     names = [id_column, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches):

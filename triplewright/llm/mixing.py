@@ -1,32 +1,34 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Every document has a pseudo-random key, and a source's documents are cut into
-equal blocks of the key space.  How many blocks a source gives to the mix
-follows from its target; a tree then divides these exact quotas among output
-shards, each node by one multivariate hypergeometric draw, so that a shard's
-share of every source is what a random permutation of all blocks would give.
-Along each source's permuted blocks the shards take disjoint runs.  A node's
-draw depends on the seed and the node alone, so any task can follow the tree
-by itself: nothing is gathered to place a document.
+A source's documents are cut into equal blocks of a pseudo-random key space,
+anew for each pass over the source.  How many blocks a source gives to the mix,
+its quota, follows from its target; a tree divides these exact quotas among
+output shards, each node by one multivariate hypergeometric draw, so that a
+shard's share of every source is what a random permutation of all blocks would
+give.  Along each source's permuted blocks the shards draw disjoint runs, and a
+document is taken as often as a shard draws one of its blocks.  A node's draw
+depends on the seed and the node alone, so any task can follow the tree by
+itself: nothing is gathered to place a document.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from triplewright.llm.common import stored
+from triplewright.llm.common import small_table, stored
 
 WORDS = r"[^\x20\x09-\x0D]+"
 KEY_BITS = 63
 #: Sources up to this number are mapped by a broadcast; more are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
-#: Key bits that one refinement of the cut resolves.
-STEP_BITS = 10
+#: Blocks of all sources and passes at most: the draws take fewer than 10^9.
+MOST_BLOCKS = 900_000_000
+#: Numbers that a worker keeps of the draws that it has made.
+CACHED = 4_000_000
 
 
 def word_count(text) -> F.Column:
@@ -54,35 +56,38 @@ def targets(sizes: list[int], weights: tuple[float, ...], most: float = 3.0) ->
 
 
 class Mix(NamedTuple):
-    """What places a document: by source its full copies, and the key below which it has one more."""
+    """What places a document: by source the blocks that it gives, along all its passes."""
 
     names: list[str | None]
     sizes: list[int]
     targets: list[float]
-    copies: list[int]
-    cuts: list[int]
+    quotas: list[int]
+    passes: int
     shards: int
     block_bits: int
     seed: int
 
-    def quotas(self) -> np.ndarray:
-        """Blocks that each source gives, full copies and the last part."""
-        width = 1 << (KEY_BITS - self.block_bits)
-        return np.array([c * (1 << self.block_bits) + -(-cut // width) for c, cut in zip(self.copies, self.cuts)], np.int64)
+
+_DRAWN: dict[tuple, tuple[int, ...]] = {}
 
 
-@lru_cache(200_000)
 def _left(seed: int, lo: int, hi: int, quota: tuple[int, ...]) -> tuple[int, ...]:
     """What the left half of shards ``lo:hi`` draws of the node's blocks."""
-    total, shards = sum(quota), hi - lo
-    rng = np.random.Generator(np.random.PCG64([seed, lo, hi]))
-    return tuple(int(x) for x in rng.multivariate_hypergeometric(np.array(quota, np.int64), total * (shards // 2) // shards, method="marginals"))
+    key = (seed, lo, hi, hash(quota), sum(quota))
+    if key not in _DRAWN:
+        if len(_DRAWN) * len(quota) > CACHED:
+            _DRAWN.clear()
+        rng = np.random.Generator(np.random.PCG64([seed, lo, hi]))
+        drawn = rng.multivariate_hypergeometric(np.array(quota, np.int64), sum(quota) * ((hi - lo) // 2) // (hi - lo), method="marginals")
+        _DRAWN[key] = tuple(drawn.tolist())
+    return _DRAWN[key]
 
 
 def place(source: np.ndarray, block: np.ndarray, quota: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """The shard of each (source, permuted block position)."""
-    out = np.zeros(len(source), np.int64)
-    stack = [(0, shards, tuple(quota.tolist()), np.arange(len(source)), block.astype(np.int64))]
+    """The shard that draws each (source, permuted block position); -1 where the quota doesn't reach and none does."""
+    out = np.full(len(source), -1, np.int64)
+    inside = np.flatnonzero(block < quota[source]) if len(source) else np.zeros(0, np.int64)
+    stack = [(0, shards, tuple(quota.tolist()), inside, block[inside].astype(np.int64))]
     while stack:
         lo, hi, own, rows, at = stack.pop()
         if not len(rows):
@@ -99,99 +104,69 @@ def place(source: np.ndarray, block: np.ndarray, quota: np.ndarray, shards: int,
     return out
 
 
-def _key(id_column: str, seed: int, epoch: int) -> F.Column:
-    """A document's key in ``[0, 2^63)`` for one pass over its source."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(epoch), F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.col(id_column).isNull()), 1)
+def _block(id_column: str, hash_column: str, seed: int, number, bits: int) -> F.Column:
+    """The permuted block, of ``2^bits``, that a document is in for one pass over its source."""
+    key = F.xxhash64(F.lit(seed), number, F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.col(id_column).isNull(), F.col(hash_column))
+    return F.shiftrightunsigned(key, 64 - bits) if bits else F.lit(0).cast("long")
 
 
-def _sources(spark: SparkSession, mix: Mix, source_column: str) -> DataFrame:
-    kind = "string"
-    rows = [(k, name, size, float(target), copies, cut) for k, (name, size, target, copies, cut) in enumerate(zip(mix.names, mix.sizes, mix.targets, mix.copies, mix.cuts))]
-    table = spark.createDataFrame(rows, f"__s int, __name {kind}, __source_size long, __target double, __copies int, __cut long")
-    return F.broadcast(table) if len(rows) <= BROADCAST_SOURCES else table
+def _by_source(spark: SparkSession, columns: dict[str, list], schema: str) -> DataFrame:
+    table = small_table(spark, columns, schema)
+    return F.broadcast(table) if len(next(iter(columns.values()))) <= BROADCAST_SOURCES else table
 
 
 def plan(sized: DataFrame, weights: tuple[float, ...], most: float = 3.0, seed: int = 0, shards: int | None = None) -> Mix:
-    """Decide the mix from a table of (``id``, ``source``, ``size``).
+    """Decide the mix from a table of (``id``, ``source``, ``size``, ``h``).
 
-    Only sums by source and by bins of the key reach the driver: one row a
-    source.  The cut of a source's last, partial pass is refined ten key bits
-    at a time, each time within the one bin that holds it, until that bin has
-    one document; it falls where the words come nearest the target.
+    Only sums by source reach the driver: one row a source.  A source gives
+    all blocks of its full passes, and of the pass after them the first blocks
+    whose words together come nearest to what the target still wants.
     """
     spark = sized.sparkSession
     by_source = sorted(sized.groupBy("source").agg(F.sum("size").alias("n")).collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be", "surrogatepass")))
     names, sizes = [r["source"] for r in by_source], [int(r["n"]) for r in by_source]
     goal = targets(sizes, weights, most)
-    total = sum(sizes)
+    total, passes = sum(sizes), max(1, int(np.ceil(most)))
     shards = shards or max(1, -(-total // 16_000_000), min(64, -(-total // 100_000)))
-    block_bits = int(np.clip(np.ceil(np.log2(64 * shards / max(1, len(names)))), 10, 24))
-    copies, left, cuts = [], [], []
-    for size, t in zip(sizes, goal):
-        full = int(min(t // size, most)) if size else 0
-        copies.append(full)
-        left.append(t - full * size if size and full < most else 0.0)
-        cuts.append(0)
-    # ``low``: where the bin that holds the cut begins; ``need``: words still wanted from it on
-    open_bins = {k: (0, need) for k, need in enumerate(left) if need > 0}
-    shift = KEY_BITS
-    keyed = sized.withColumn("key", _key("id", seed, -1))
-    while open_bins and shift > 0:
-        step = min(STEP_BITS, shift)
-        shift -= step
-        bins = spark.createDataFrame([(k, names[k], low, float(need)) for k, (low, need) in open_bins.items()], "__s int, __name string, low long, need double")
-        bins = F.broadcast(bins) if len(open_bins) <= BROADCAST_SOURCES else bins
-        inside = keyed.join(bins, F.col("source").eqNullSafe(F.col("__name")) & (F.col("key") >= F.col("low")) & (F.col("key") - F.col("low") < F.lit(1 << (shift + step))) if shift + step < KEY_BITS else F.col("source").eqNullSafe(F.col("__name")))
-        words = inside.groupBy("__s", "need", F.shiftright(F.col("key"), shift).alias("bin")).agg(F.sum("size").alias("n"), F.count("*").alias("docs"))
-        by_key = Window.partitionBy("__s").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-        upto = words.withColumn("upto", F.sum("n").over(by_key))
-        hold = upto.where(F.col("upto") >= F.col("need")).groupBy("__s").agg(F.min(F.struct("bin", "upto", "n", "docs")).alias("x")).select("__s", "x.*").collect()
-        found = {r["__s"]: r for r in hold}
-        following = {}
-        for k, (low, need) in open_bins.items():
-            r = found.get(k)
-            if r is None:  # rounding: all that is there
-                cuts[k] = min(low + (1 << (shift + step)), 1 << KEY_BITS)
-                continue
-            before, begin = r["upto"] - r["n"], r["bin"] << shift
-            if r["docs"] == 1 or shift == 0:
-                take = r["upto"] - need <= need - before
-                cuts[k] = min(begin + (1 << shift), (1 << KEY_BITS) - 1) if take else begin
-            else:
-                following[k] = (begin, need - before)
-        open_bins = following
-    return Mix(names, sizes, goal, copies, cuts, shards, block_bits, seed)
-
-
-def with_mix(docs: DataFrame, mix: Mix, id_column: str, source_column: str, tree: bool = True) -> DataFrame:
-    """``docs`` with ``__source_size``, ``__target``, ``__taken`` (copies) and ``__shards`` (one for each copy)."""
-    table = _sources(docs.sparkSession, mix, source_column)
+    bits = int(np.clip(np.ceil(np.log2(64 * shards / max(1, len(names)))), 10, 24))
+    bits = max(0, min(bits, int(np.log2(MOST_BLOCKS / (passes * max(1, len(names)))))))
+    full = [int(min(t // size, most)) if size else 0 for size, t in zip(sizes, goal)]
+    need = [t - f * size if size and f < most else 0.0 for size, t, f in zip(sizes, goal, full)]
+    quotas = [f << bits for f in full]
+    some = [k for k, x in enumerate(need) if x > 0]
+    if some:
+        open_ = _by_source(spark, {"__s": some, "__name": [names[k] for k in some], "__pass": [full[k] for k in some], "need": [need[k] for k in some]}, "__s int, __name string, __pass int, need double")
+        words = sized.join(open_, F.col("source").eqNullSafe(F.col("__name"))).groupBy("__s", "need", _block("id", "h", seed, F.col("__pass"), bits).alias("block")).agg(F.sum("size").alias("n"))
+        upto = words.withColumn("gap", F.abs(F.sum("n").over(Window.partitionBy("__s").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("need")))
+        for r in upto.groupBy("__s").agg(F.min(F.struct("gap", "block")).alias("x")).collect():
+            if r["x"]["gap"] < need[r["__s"]]:  # else no block is nearer
+                quotas[r["__s"]] += r["x"]["block"] + 1
+    return Mix(names, sizes, goal, quotas, passes, shards, bits, seed)
+
+
+def with_mix(docs: DataFrame, mix: Mix, id_column: str, source_column: str, hash_column: str) -> DataFrame:
+    """``docs`` with ``__source_size``, ``__target`` and ``__shards``: for each time that a document is taken the shard that draws it."""
+    columns = {"__s": list(range(len(mix.names))), "__name": mix.names, "__source_size": mix.sizes, "__target": [float(t) for t in mix.targets]}
+    table = _by_source(docs.sparkSession, columns, "__s int, __name string, __source_size long, __target double")
     out = docs.join(table, F.col(source_column).cast("string").eqNullSafe(F.col("__name")), "left").drop("__name")
-    most = max([0, *mix.copies])
-    width_bits = KEY_BITS - mix.block_bits
-    block = lambda epoch: F.shiftright(_key(id_column, mix.seed, epoch), width_bits)
-    more = _key(id_column, mix.seed, -1) < F.col("__cut")
-    out = out.withColumn("__taken", F.col("__copies") + more.cast("int"))
-    if not tree:
-        return out.drop("__copies", "__cut", "__s")
-    # positions along the source's permuted blocks: those of each full pass, then those of the partial one
-    at = [F.when(F.col("__copies") > e, block(e) + F.lit(e << mix.block_bits)) for e in range(most)]
-    at.append(F.when(more, block(-1) + F.shiftleft(F.col("__copies").cast("long"), mix.block_bits)))
-    quota, shards, seed = mix.quotas(), mix.shards, mix.seed
+    at = [_block(id_column, hash_column, mix.seed, F.lit(e), mix.block_bits) + F.lit(e << mix.block_bits) for e in range(mix.passes)]
+    quota, shards, seed, passes = np.array(mix.quotas, np.int64), mix.shards, mix.seed, mix.passes
 
     @F.pandas_udf("array<int>")
     def shards_of(source: pd.Series, position: pd.Series) -> pd.Series:
-        sizes = position.map(len).to_numpy(np.int64)
-        flat = np.concatenate([np.zeros(0, np.int64), *position.tolist()]).astype(np.int64)
-        where = place(np.repeat(source.to_numpy(np.int64), sizes), flat, quota, shards, seed).astype(np.int32)
-        return pd.Series(np.split(where, np.cumsum(sizes)[:-1])) if len(sizes) else pd.Series([], dtype=object)
+        if not len(source):
+            return pd.Series([], dtype=object)
+        flat = np.concatenate(position.tolist()).astype(np.int64)
+        drawn = place(np.repeat(source.to_numpy(np.int64), passes), flat, quota, shards, seed).astype(np.int32).reshape(-1, passes)
+        return pd.Series([row[row >= 0] for row in drawn])
 
-    return out.withColumn("__shards", shards_of(F.col("__s"), F.array_compact(F.array(*at)))).drop("__copies", "__cut", "__s")
+    return out.withColumn("__shards", shards_of(F.col("__s"), F.array(*at))).drop("__s")
 
 
 def sized(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text") -> DataFrame:
-    """The table of (``id``, ``source``, ``size`` in words) that a plan is made from, written once."""
-    return stored(docs.select(F.col(id_column).alias("id"), F.col(source_column).cast("string").alias("source"), word_count(F.col(text_column)).alias("size")))
+    """The table of (``id``, ``source``, ``size`` in words, ``h``) that a plan is made from, written once."""
+    text = F.col(text_column)
+    return stored(docs.select(F.col(id_column).alias("id"), F.col(source_column).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("h")))
 
 
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 0, shards: int | None = None, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text") -> DataFrame:
@@ -199,21 +174,22 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most:
 
     Sources in code point order (null last) have ``weights``, repeating, and
     share the words of all documents; a target stops at ``most`` times its
-    source's words.  Each document is taken the full passes of its source, and
-    once more if its key is below the source's cut.  The tree decides every
-    copy's shard; a shard is one partition's run, ordered by random keys.
+    source's words.  The tree draws blocks of documents for every shard; a
+    shard is one partition's run, ordered by random keys.
 
     One shuffle moves the documents to their shards, whose sizes don't depend
-    on how large a source is.  Reruns give the same rows.  Rows of one id share
-    a key and are taken alike; null sources are a source; null or empty texts
-    have no words and are taken with the keys of their source; an empty table
-    gives an empty mix.
+    on how large a source is.  Reruns give the same rows.  Rows that repeat an
+    id and a text share their blocks and are taken alike; null ids are told
+    apart by their texts; null sources are a source; null or empty texts have
+    no words and are taken with the blocks of their source; an empty table
+    gives an empty mix.  Other columns are passed on; none may be called
+    ``__copy``, ``__shard``, ``__shards``, ``__h``, ``__source_size`` or ``__target``.
     """
     mix = plan(sized(docs, id_column, source_column, text_column), weights, most, seed, shards)
-    placed = with_mix(docs, mix, id_column, source_column).where(F.col("__taken") > 0)
-    copies = placed.select(*docs.columns, F.posexplode("__shards").alias("__copy", "__shard"))
-    order = F.xxhash64(F.lit(seed), F.lit(1), F.col(id_column), F.col("__copy"))
-    return copies.repartition(mix.shards, "__shard").sortWithinPartitions("__shard", order).select(*docs.columns)
+    placed = with_mix(docs.withColumn("__h", F.xxhash64(text_column)), mix, id_column, source_column, "__h").where(F.size("__shards") > 0)
+    copies = placed.select(*docs.columns, "__h", F.posexplode("__shards").alias("__copy", "__shard"))
+    order = F.xxhash64(F.lit(seed), F.lit(1), F.col(id_column), F.col("__h"), F.col("__copy"))
+    return copies.repartitionById(mix.shards, F.col("__shard")).sortWithinPartitions("__shard", order).select(*docs.columns)
 
 
 def mix_report(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 0, shards: int | None = None, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text") -> DataFrame:
@@ -225,5 +201,5 @@ def mix_report(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: fl
     """
     table = sized(docs, id_column, source_column, text_column)
     mix = plan(table, weights, most, seed, shards)
-    out = with_mix(table, mix, "id", "source")
-    return out.select(F.col("id").alias(id_column), "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__taken") * F.col("size")).alias("taken"), F.col("__taken").alias("copies"), F.col("__shards").alias("shards"))
+    out = with_mix(table, mix, "id", "source", "h")
+    return out.select(F.col("id").alias(id_column), "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.size("__shards") * F.col("size")).alias("taken"), F.size("__shards").alias("copies"), F.col("__shards").alias("shards"))
