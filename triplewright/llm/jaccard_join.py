@@ -26,8 +26,8 @@ from triplewright.llm.textops import U64, as_texts, find_words, mix64, shingle_s
 ORDERED_SHINGLES = 1 << 20
 #: Frequent shingles that one task reports.
 TASK_SHINGLES = 100_000
-#: Postings that a bucket of lists holds, about.
-BUCKET_POSTINGS = 4_000_000
+#: Postings that a bucket of lists holds, about: what bounds a task's memory.
+BUCKET_POSTINGS = 1_500_000
 #: Leading shingles that decide which list gives a pair.
 LEADERS = 3
 #: Bits of a set's parity map, from which a bound on any two sets' difference follows.
@@ -238,14 +238,23 @@ def list_pairs(key: np.ndarray, who: np.ndarray, place: np.ndarray, size: np.nda
 
 
 def _candidates(postings: DataFrame, buckets: int, percent: int) -> DataFrame:
-    def run(batches):
-        held: dict[int, list] = {}
+    """Candidate pairs; each bucket is a task's own, and a task that is given several holds one at a time."""
+
+    def by_bucket(batches):
+        bucket, rows = None, []
         for batch in batches:
             columns = [batch.column(k) for k in range(7)]
             for r in range(batch.num_rows):
-                held.setdefault(columns[0][r].as_py(), []).append([np.frombuffer(columns[k][r].as_buffer(), t) for k, t in ((1, np.int64), (2, np.int32), (3, U64), (4, U64), (5, np.int32), (6, np.uint16))])
-        for bucket in list(held):
-            rows = held.pop(bucket)
+                if columns[0][r].as_py() != bucket:
+                    if rows:
+                        yield rows
+                    bucket, rows = columns[0][r].as_py(), []
+                rows.append([np.frombuffer(columns[k][r].as_buffer(), t) for k, t in ((1, np.int64), (2, np.int32), (3, U64), (4, U64), (5, np.int32), (6, np.uint16))])
+        if rows:
+            yield rows
+
+    def run(batches):
+        for rows in by_bucket(batches):
             shift = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])])
             sig, back = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
             size, lead = np.zeros(len(sig), np.int32), np.zeros((len(sig), LEADERS + MAP_BITS // 64), U64)
@@ -254,7 +263,7 @@ def _candidates(postings: DataFrame, buckets: int, percent: int) -> DataFrame:
             key = np.concatenate([r[3] for r in rows])
             who = back.astype(np.int32)[np.concatenate([r[4] + np.int32(s) for r, s in zip(rows, shift)])]
             place = np.concatenate([r[5] for r in rows])
-            del rows
+            rows.clear()
 
             def once(parts, sig=sig):
                 """Each pair of the bucket once, with one of its blocks."""
@@ -285,7 +294,7 @@ def _candidates(postings: DataFrame, buckets: int, percent: int) -> DataFrame:
             if parts:
                 yield out(*once(parts))
 
-    return arrow_map(postings.repartition(buckets, "bucket"), run, "block long, x long, y long")
+    return arrow_map(postings.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket"), run, "block long, x long, y long")
 
 
 def _close(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
@@ -409,6 +418,8 @@ def similar(docs: DataFrame, width: int = 3, percent: int = 70, id_column: str =
     else:
         chosen = None
         scan = source.join(wanted.where("id is not null").select("id").distinct(), "id", "left_semi")
+        if not wanted.where("id is null").isEmpty():  # classes of rows that all lack an id
+            scan = scan.unionByName(source.where("id is null"))
 
     def asked_sets(batches):
         only = chosen.value if chosen else None
