@@ -5,8 +5,10 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from triplewright.llm.common import arrow_map, crc_fold, session, stored
 from triplewright.llm.textops import U64, Texts, as_texts, char_counts, find_words, mix64, slices
@@ -233,17 +235,32 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_colu
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> DataFrame:
-    """The rows and columns of ``docs`` whose score reaches ``threshold``, in their partitions: no text is shuffled."""
-    session(docs.sparkSession)
-    model = learn(stored(with_statistics(docs, [id_column], text_column)), labels, id_column, label_column)
+    """The rows and columns of ``docs`` whose score reaches ``threshold``.
 
-    at = docs.columns.index(text_column)
+    Each text is read once: its row is written with its statistics, of which
+    the fit reads the ids and numbers alone, and the scores filter the written
+    rows in their partitions.  No text is shuffled.
 
-    def run(batches):
+    A null text is scored as an empty one and stays null if it is kept;
+    repeated rows are each kept or not, alike; null ids match no label; other
+    columns are passed on, and none may be called ``__statistics``; an empty
+    table gives an empty result.
+    """
+    session(docs.sparkSession)
+    names, at = docs.columns, docs.columns.index(text_column)
+
+    def with_own(batches):
         for batch in batches:
-            column = batch.column(at)
-            for a, b in slices(column):
-                good = model.score(statistics(as_texts(column.slice(a, b - a)))) >= threshold
-                yield batch.slice(a, b - a).filter(pa.array(good))
+            for a, b in slices(batch.column(at)):
+                x = statistics(as_texts(batch.column(at).slice(a, b - a)))
+                flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, flat], names=[*names, "__statistics"])
+
+    table = stored(arrow_map(docs, with_own, StructType([*docs.schema.fields, StructField("__statistics", ArrayType(DoubleType()))])))
+    model = learn(table.select(id_column, F.col("__statistics").alias("statistics")), labels, id_column, label_column)
+
+    @F.pandas_udf("boolean")
+    def good(x: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.stack(x.tolist())) >= threshold) if len(x) else pd.Series([], dtype=bool)
 
-    return arrow_map(docs, run, docs.schema)
+    return table.where(good("__statistics")).select(*names)
