@@ -536,6 +536,30 @@ def test_encoder_equals_the_library():
     assert encoder.count(textops.as_texts(pa.array(source))).tolist() == np.diff(at).tolist()
 
 
+def test_first_tier(docs, rows, monkeypatch):
+    """The table holds the corpus's most frequent pre-tokens and outlives the cache behind it."""
+    path = bpe.tokenizer_path("byte_bpe_50k.json")
+    pattern = bpe.Encoder(path).pattern
+    counts = {}
+    for r in rows.values():
+        for piece in pattern.findall(r["text"] or ""):
+            counts[piece.encode()] = counts.get(piece.encode(), 0) + 1
+    monkeypatch.setattr(token_counts, "FREQUENT", 50)
+    pieces = token_counts.frequent_pieces(docs.where("text not like '%endoftext%' and text not like '%''%'"), path, "text")
+    least = sorted(counts.values())[-60]
+    assert len(pieces) == 50 and all(counts[p] >= least - 5 for p in pieces)
+    frequent = bpe.frequent_of(path, pieces)
+    found = frequent.find(frequent.keys)
+    assert ((found == np.arange(50)) | (found == -1)).all() and (found >= 0).mean() > 0.9 and (frequent.find(frequent.keys + np.uint64(1)) == -1).all()
+    monkeypatch.setattr(bpe, "CACHE_LIMIT", 20)
+    encoder, plain = bpe.Encoder(path, frequent), bpe.Encoder(path)
+    for _ in range(2):
+        for r in rows.values():
+            one = textops.as_texts(pa.array([r["text"]], pa.string()))
+            assert encoder.encode(one)[0].tolist() == plain.library.encode(r["text"] or "", add_special_tokens=False).ids
+    assert len(encoder.slot) < 5000 and np.array_equal(encoder.frequent.keys, frequent.keys)
+
+
 # -- 10
 
 

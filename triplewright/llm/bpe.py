@@ -1,9 +1,9 @@
 """Byte-level BPE over Arrow batches, without a Python object per pre-token.
 
 Pre-tokens are cut by character class with numpy, hashed, and looked up in two
-tiers: a compact table of frequent pre-tokens that is broadcast with the task,
-and a cache that lives as long as the Python worker.  Only what both miss is
-given to the tokenizer library, once per worker.  Texts that hold an apostrophe
+tiers: a compact hash table of frequent pre-tokens that is sent with the task,
+where one or two array reads answer for each, and a cache that lives as long as
+the Python worker.  Only what both miss is encoded, once per worker.  Texts that hold an apostrophe
 or a special token go through the library's own rules (``regex`` plus the same
 caches), since contractions depend on where a token starts.
 """
@@ -13,6 +13,8 @@ from __future__ import annotations
 import importlib
 import json
 import os
+from functools import cached_property, lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import regex
@@ -42,6 +44,46 @@ def _classes() -> np.ndarray:
     return out
 
 
+class Frequent(NamedTuple):
+    """The first tier: hashes of pre-tokens, their ids ``ids[at[k]:at[k + 1]]``, and the table that finds a hash's place.
+
+    A hash has two places in ``table``, by its high and its low bits; a
+    pre-token that finds both taken is left to the second tier.
+    """
+
+    keys: np.ndarray
+    ids: np.ndarray
+    at: np.ndarray
+    table: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, ids: np.ndarray, at: np.ndarray) -> Frequent:
+        bits = max(4, int(4 * len(keys)).bit_length())
+        table = np.full(1 << bits, -1, np.int32)
+        left = np.arange(len(keys) - 1, -1, -1, dtype=np.int32)  # of several the first one stays
+        for where in (keys >> U64(64 - bits), keys & U64((1 << bits) - 1)):
+            where = where.astype(np.int64)
+            left = left[table[where[left]] < 0]
+            table[where[left]] = left
+            left = left[table[where[left]] != left]
+        return cls(keys, ids, at, table)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash among the keys; -1 if it isn't there."""
+        if not len(self.keys):
+            return np.full(len(h), -1, np.int64)
+        bits = len(self.table).bit_length() - 1
+        at = self.table[(h >> U64(64 - bits)).astype(np.int64)]
+        out = np.where((at >= 0) & (self.keys[at] == h), at, -1)
+        rest = np.flatnonzero(out < 0)
+        at = self.table[(h[rest] & U64((1 << bits) - 1)).astype(np.int64)]
+        out[rest] = np.where((at >= 0) & (self.keys[at] == h[rest]), at, -1)
+        return out.astype(np.int64)
+
+
+NONE = Frequent.of(np.zeros(0, U64), np.zeros(0, np.uint32), np.zeros(1, np.int64))
+
+
 class Encoder:
     """Token ids or counts of texts for a byte-level BPE file, equal to the library's.
 
@@ -49,9 +91,7 @@ class Encoder:
     default; nothing is added, cut or padded.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
+    def __init__(self, path: str, frequent: Frequent = NONE):
         self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -60,7 +100,6 @@ class Encoder:
             raise ValueError(f"{path} is no plain byte-level BPE")
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError(f"{path} has added tokens that depend on their surroundings")
-        self.library = Tokenizer.from_file(path)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.pattern = regex.compile(PATTERN)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
@@ -68,8 +107,15 @@ class Encoder:
         self.fast = self._ranks(spec)
         self.classes = _classes()
         self.ascii = self.classes[:256].copy()
+        self.frequent = frequent
         self.clear()
 
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _ranks(self, spec: dict):
         """The merges as ranks, where ids are in merge order: the same ids, several times sooner."""
         try:
@@ -86,17 +132,12 @@ class Encoder:
         return tiktoken.Encoding("merges", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def clear(self) -> None:
+        """Start the second tier anew; the first one stays."""
+        first = self.frequent
         self.slot: dict[int, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.at = np.zeros(1 << 15, np.int64)  # where a slot's ids begin
-        self.slots = 0
-
-    def seed(self, hashes: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
-        """Take the first tier: hashes of pre-tokens and their ids, ``ids[at[k]:at[k + 1]]``."""
-        self.clear()
-        self.slot = dict(zip(hashes.tolist(), range(len(hashes))))
-        self.slots = len(hashes)
-        self.ids, self.at = ids.copy(), at.copy()
+        self.slots = len(first.keys)
+        self.ids = np.concatenate([first.ids, np.zeros(1 << 16, np.uint32)])
+        self.at = np.concatenate([first.at, np.zeros(1 << 15, np.int64)])  # where a slot's ids begin
 
     def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
         if self.fast:
@@ -170,20 +211,24 @@ class Encoder:
         """The slot of every pre-token, and where each text's begin."""
         starts, _ = self._cuts(texts)
         ends = np.append(starts[1:], len(texts.data))
-        keys, where, back = np.unique(span_hashes(texts.data, starts, ends, fold=False), return_index=True, return_inverse=True)
-        if self.slots + len(keys) > CACHE_LIMIT and self.slots > (1 << 17):
-            self.clear()
-        get = self.slot.get
-        found = [get(k, -1) for k in keys.tolist()]
-        slots = np.array(found, np.int64)
-        new = np.flatnonzero(slots < 0)
-        if len(new):
-            raw = texts.data.tobytes()
-            a, b = starts[where[new]].tolist(), ends[where[new]].tolist()
-            n = self.slots
-            self._learn(keys[new], [raw[i:j] for i, j in zip(a, b)])
-            slots[new] = np.arange(n, n + len(new))
-        return slots[back], np.searchsorted(starts, texts.offsets)
+        h = span_hashes(texts.data, starts, ends, fold=False)
+        slots = self.frequent.find(h)
+        rest = np.flatnonzero(slots < 0)
+        if len(rest):
+            keys, where, back = np.unique(h[rest], return_index=True, return_inverse=True)
+            if len(self.slot) + len(keys) > CACHE_LIMIT and self.slot:
+                self.clear()
+            get = self.slot.get
+            found = np.array([get(k, -1) for k in keys.tolist()], np.int64)
+            new = np.flatnonzero(found < 0)
+            if len(new):
+                raw = texts.data.tobytes()
+                a, b = starts[rest[where[new]]].tolist(), ends[rest[where[new]]].tolist()
+                n = self.slots
+                self._learn(keys[new], [raw[i:j] for i, j in zip(a, b)])
+                found[new] = np.arange(n, n + len(new))
+            slots[rest] = found[back]
+        return slots, np.searchsorted(starts, texts.offsets)
 
     def _odd(self, texts: Texts) -> np.ndarray:
         """Texts that the class rules don't cover."""
@@ -244,11 +289,11 @@ class Encoder:
         data = np.frombuffer(b"".join(raw), np.uint8)
         keys = span_hashes(data, np.concatenate([[0], ends[:-1]]), ends, fold=False)
         get, out = self.slot.get, []
-        for key, piece, one in zip(keys.tolist(), raw, special):
+        for key, piece, one, k in zip(keys.tolist(), raw, special, self.frequent.find(keys).tolist()):
             if one >= 0:
                 out.append(np.array([one], np.uint32))
                 continue
-            k = get(key)
+            k = k if k >= 0 else get(key)
             if k is None:
                 k = self.slots
                 self._learn(np.array([key], U64), [piece])
@@ -267,35 +312,39 @@ class Encoder:
         return np.diff(total[first])
 
 
-def frequent_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first tier: hashes of the vocabulary's own pre-tokens, and their ids.
+def frequent_of(path: str, pieces: list[bytes]) -> Frequent:
+    """The first tier for these pre-tokens, the most frequent first."""
+    encoder = Encoder(path)
+    if not pieces:
+        return NONE
+    ends = np.cumsum([len(r) for r in pieces])
+    keys = span_hashes(np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], ends[:-1]]), ends, fold=False)
+    encoder._learn(keys, pieces)
+    return Frequent.of(keys, encoder.ids[: encoder.at[encoder.slots]].copy(), encoder.at[: encoder.slots + 1].copy())
+
 
-    A vocabulary's entries are the strings most frequent in the text it was
-    made from, so they are the frequent pre-tokens; their number, and so the
-    size of what is broadcast, is that of the vocabulary (about 1 MB).
-    """
+@lru_cache(4)
+def vocabulary_table(path: str) -> Frequent:
+    """A first tier without a look at the corpus: the vocabulary's own entries that are pre-tokens, about 1 MB.  Made once for each file."""
     encoder = Encoder(path)
-    pieces = []
+    pieces = set()
     for k in range(encoder.library.get_vocab_size(with_added_tokens=False)):
         piece = encoder.library.decode([k], skip_special_tokens=False)
         if piece and "�" not in piece and "'" not in piece and piece not in encoder.special and encoder.pattern.findall(piece) == [piece]:
-            pieces.append(piece)
-    pieces = sorted(set(pieces))
-    raw = [p.encode() for p in pieces]
-    ends = np.cumsum([len(r) for r in raw])
-    keys = span_hashes(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], ends[:-1]]), ends, fold=False)
-    encoder._learn(keys, raw)
-    return keys, encoder.ids[: encoder.at[encoder.slots]].copy(), encoder.at[: encoder.slots + 1].copy()
+            pieces.add(piece)
+    return frequent_of(path, [p.encode() for p in sorted(pieces)])
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def worker_encoder(path: str, table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> Encoder:
-    """This process's encoder for a file; its cache outlives a task."""
+def worker_encoder(path: str, frequent: Frequent = NONE) -> Encoder:
+    """This process's encoder for a file; its cache outlives a task, unless the first tier is another one."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-        if table is not None:
-            _ENCODERS[path].seed(*table)
-    return _ENCODERS[path]
+    own = _ENCODERS.get(path)
+    if own is None:
+        own = _ENCODERS[path] = Encoder(path, frequent)
+    elif not np.array_equal(own.frequent.keys, frequent.keys):
+        own.frequent = frequent
+        own.clear()
+    return own

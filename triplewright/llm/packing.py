@@ -129,7 +129,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", window: int = 10
     """
     path = bpe.tokenizer_path(tokenizer)
     kind = docs.schema[id_column].dataType.simpleString()
-    table = bpe.frequent_table(path)
+    table = bpe.vocabulary_table(path)
 
     def flush(names, keys, held, base):
         sizes = np.array([len(x) for x in held], np.int64)
