@@ -127,22 +127,25 @@ class Scorer(NamedTuple):
         return 1 / (1 + np.exp(-np.clip(gap, -500, 500)))
 
 
-def label_model(votes: np.ndarray, given: np.ndarray, weight: np.ndarray, rounds: int = 10, trust: float = 0.97) -> np.ndarray:
+def label_model(votes: np.ndarray, given: np.ndarray, weight: np.ndarray, rounds: int = 10, start: float = 0.9) -> np.ndarray:
     """The posterior that each row is toxic.
 
-    ``votes`` (rows x voters) marks which voters say toxic; the given label is
-    one more voter, of accuracy ``trust``.  Expectation-maximisation estimates
+    ``votes`` (rows x voters) marks which voters say toxic; one that is silent
+    speaks for clean by its own rate.  The given label is one more voter, whose
+    rates are estimated like the others': ``start`` is what it is taken to be
+    right before the first round, no more.  Expectation-maximisation estimates
     each voter's rate in either class.  Voters that fire together beyond what
     the class explains share their evidence: each counts as one over the sum
     of its positive correlations with the others, given the class.
     """
     n, m = votes.shape
     v = votes.astype(np.float32, copy=False)
-    p = np.where(given > 0, trust, 1 - trust).astype(float)
-    label = np.log(trust / (1 - trust)) * np.where(given > 0, 1, -1)
+    says = given > 0
+    p = np.where(says, start, 1 - start).astype(float)
     for _ in range(rounds):
-        share = np.ones(m)
         on, off = p * weight, (1 - p) * weight
+        right, wrong = ((x[says].sum() + 0.5) / (x.sum() + 1) for x in (on, off))
+        label = np.where(says, np.log(right / wrong), np.log((1 - right) / (1 - wrong)))
         a = (v.T @ on + 0.5) / (on.sum() + 1)
         b = (v.T @ off + 0.5) / (off.sum() + 1)
         cov = np.zeros((m, m))
