@@ -393,6 +393,16 @@ def test_label_model_shares_correlated_evidence():
     assert ((p > 0.5) == y).mean() > 0.97
 
 
+def test_label_model_estimates_the_labels_too():
+    """Labels of which a tenth is wrong: what most voters say against one of them stands."""
+    rng = np.random.default_rng(2)
+    y = rng.random(4000) < 0.3
+    votes = np.stack([np.where(y, rng.random(4000) < 0.75, rng.random(4000) < 0.03) for _ in range(6)], 1)
+    given = y ^ (rng.random(4000) < 0.1)
+    p = toxicity.label_model(votes, given, np.ones(4000))
+    assert ((p > 0.5) == y).mean() > 0.98 > (given == y).mean() + 0.05
+
+
 # -- 5
 
 

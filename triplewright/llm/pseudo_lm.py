@@ -26,6 +26,8 @@ REACH, EMBED, HIDDEN = 2, 16, 48
 CONTEXT = 2 * REACH
 #: Words predicted in one step of training, and in one step of scoring.
 MINIBATCH, SCORE_BATCH = 1024, 8192
+#: After so many steps of a task, steps are of four minibatches: a third less time a word.
+SMALL_STEPS = 200
 CHUNK = 16_384
 #: Occurrences that every word of the rest, and one that wasn't counted, has besides its own.
 SMOOTH = 0.1
@@ -261,17 +263,31 @@ def windows(numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack(columns, 1)
 
 
-def train(docs: DataFrame, words: Vocabulary, text_column: str, stride: int, rate: float, seed: int) -> Network:
-    """Every task trains a copy on its own texts, from the same start; the result is their mean by words seen.
+def train(docs: DataFrame, words: Vocabulary, text_column: str, stride: int, rate: float, seed: int, rounds: int = 2) -> Network:
+    """In each round every task trains a copy on its own texts of that round; the next round starts from their mean by words seen.
 
-    Every word of every text is a target, or with a ``stride`` about one in so
-    many, by a hash of text and place.  Copies are added up in
-    two shuffles of 64 kB pieces; only the mean, about 1 MB, reaches the driver.
+    Texts are dealt to the ``rounds`` by a hash, so that every word of every
+    text is a target once, or with a ``stride`` about one word in so many, by a
+    hash of text and place.  The more tasks there are, the fewer words each
+    copy sees before the mean, and the nearer the mean stays to the round's
+    start; more rounds make up for that, at one more scan each.  Copies are
+    added up in two shuffles of 64 kB pieces; only the mean, about 1 MB,
+    reaches the driver.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(words)
+    net = Network.fresh(words, seed)
+    for k in range(rounds):
+        own = docs.where(F.pmod(F.xxhash64(F.lit(seed), F.col(text_column)), F.lit(rounds)) == k) if rounds > 1 else docs
+        net = _trained(own, words, net, text_column, stride, rate)
+    return net
+
+
+def _trained(docs: DataFrame, words: Vocabulary, start: Network, text_column: str, stride: int, rate: float) -> Network:
+    """The mean of the tasks' copies after one round."""
+    sent = docs.sparkSession.sparkContext.broadcast((words, start.flat))
 
     def run(batches):
-        net = Network.fresh(sent.value, seed)
+        words, flat = sent.value
+        net = Network(flat.copy())
         m, s = np.zeros_like(net.flat), np.zeros_like(net.flat)
         contexts, targets, held, seen, step = [], [], 0, 0, 0
 
@@ -291,7 +307,7 @@ def train(docs: DataFrame, words: Vocabulary, text_column: str, stride: int, rat
             for a, b in slices(column):
                 found = find_words(as_texts(column.slice(a, b - a)))
                 hashes = found.hashes()
-                numbers = sent.value.look_up(hashes)
+                numbers = words.look_up(hashes)
                 chosen = np.arange(len(numbers))
                 if stride > 1:
                     sums = np.concatenate([np.zeros(1, U64), np.cumsum(hashes, dtype=U64)])
@@ -303,11 +319,13 @@ def train(docs: DataFrame, words: Vocabulary, text_column: str, stride: int, rat
                 held += len(chosen)
                 if held >= MINIBATCH:
                     context, word = np.concatenate(contexts), np.concatenate(targets)
-                    mixed = np.random.default_rng(step).permutation(len(word))
-                    for k in range(0, len(word) - MINIBATCH + 1, MINIBATCH):
-                        learn(context[mixed[k : k + MINIBATCH]], word[mixed[k : k + MINIBATCH]])
-                        seen += MINIBATCH
-                    left = mixed[len(word) - len(word) % MINIBATCH :]
+                    mixed, k = np.random.default_rng(step).permutation(len(word)), 0
+                    while len(word) - k >= MINIBATCH:
+                        size = 4 * MINIBATCH if step >= SMALL_STEPS and len(word) - k >= 4 * MINIBATCH else MINIBATCH
+                        learn(context[mixed[k : k + size]], word[mixed[k : k + size]])
+                        k += size
+                    seen += k
+                    left = mixed[k:]
                     contexts, targets, held = [context[left]], [word[left]], len(left)
         if held:
             learn(np.concatenate(contexts), np.concatenate(targets))
@@ -335,7 +353,7 @@ def train(docs: DataFrame, words: Vocabulary, text_column: str, stride: int, rat
     once = arrow_map(copies.repartition(n, "part", "salt"), mean, fields)
     rows = arrow_map(once.repartition(n, "part"), mean, fields).collect()
     if not rows:
-        return Network.fresh(words, seed)
+        return start
     return Network(np.concatenate([np.frombuffer(r["data"], np.float32) for r in sorted(rows, key=lambda r: r["part"])]).copy())
 
 
@@ -343,9 +361,10 @@ def score(docs: DataFrame, stride: int = 1, rate: float = 0.01, seed: int = 0, i
     """The pseudo-log-likelihood of every whole text: the id, ``n_words``, ``log_prob`` (summed), ``mean_log_prob``.
 
     Words are runs between spaces, A-Z as a-z.  Word counts are taken over all
-    documents, training uses every word of all of them (one in ``stride``, if that is given),
-    and every word of every text is scored.  Results vary in the last digits with how the
-    input is split into tasks, and are equal for equal splits.
+    documents, training uses every word of all of them (one in ``stride``, if
+    that is given), and every word of every text is scored.  The network depends
+    on how the input is split into tasks (see ``train``); results are equal for
+    equal splits.
 
     Null texts are empty; a text without words has no log-probability to add up
     (0.0) and a null mean.  Repeated rows are scored each, null ids stay null,
