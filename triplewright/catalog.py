@@ -7,6 +7,7 @@ away while the plan is made.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,10 +43,21 @@ VIEWS: list[tuple[str, str, str, str, str, bool]] = [
 ]
 
 
+def _anchored(expression: str, node: str) -> str | None:
+    """The condition on a table's own column under which an expression is ``node``; empty if none can be told, None if it never is."""
+    made = re.fullmatch(r"'(\w+/)' \|\| (\w+)", expression)
+    if made:
+        own = node.removeprefix(made[1])
+        return f"{made[2]} = {own}" if own != node and re.fullmatch(r"0|-?[1-9][0-9]{0,17}", own) else None
+    if re.fullmatch(r"\w+", expression):
+        return f"{expression} = '{node}'" if re.fullmatch(r"[\w #.-]*", node) else ""
+    return ""
+
+
 def _branch(p: str, table: str, s: str, o: str, where: str, distinct: bool) -> str:
     if where == "EXISTS":  # the following turn must exist
         return f"SELECT 'turn/' || a.conv_id || '/' || a.turn AS s, '{p}' AS p, 'turn/' || b.conv_id || '/' || b.turn AS o FROM {table} a JOIN {table} b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
-    return f"SELECT {'DISTINCT ' if distinct else ''}{s} AS s, '{p}' AS p, {o} AS o FROM {table} WHERE ({s}) IS NOT NULL AND ({o}) IS NOT NULL"
+    return f"SELECT {'DISTINCT ' if distinct else ''}{s} AS s, '{p}' AS p, {o} AS o FROM {table} WHERE ({s}) IS NOT NULL AND ({o}) IS NOT NULL" + (f" AND {where}" if where else "")
 
 
 #: For the SQL twins: ``WITH`` text that makes ``triples``.
@@ -62,16 +74,30 @@ def _table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
-def triples(spark: SparkSession, sf_dir: str, predicates: list[str] | None = None) -> DataFrame:
-    """The tables under ``sf_dir`` as (``s``, ``p``, ``o``); with ``predicates``, only those."""
+def triples(spark: SparkSession, sf_dir: str, predicates: list[str] | None = None, s: str | None = None, o: str | None = None) -> DataFrame:
+    """The tables under ``sf_dir`` as (``s``, ``p``, ``o``); with ``predicates``, only those.
+
+    A subject or an object that is given becomes a condition on the table's
+    own key, which reaches the scan and comes before the DISTINCT; tables that
+    can't have it aren't opened.
+    """
+    subject, target = s, o
     chosen = [v for v in VIEWS if predicates is None or v[0] in predicates]
     parts = []
     for p, table, s, o, where, distinct in chosen:
+        keys = [_anchored(e, n) for e, n in ((s, subject), (o, target)) if n is not None] if where != "EXISTS" else []
+        if None in keys:
+            continue
+        where = where or " AND ".join(k for k in keys if k)
         tables = {table: _table(spark, f"{sf_dir}/{table}.parquet")}
         parts.append(spark.sql(_branch(p, "{" + table + "}", s, o, where, distinct), **tables))
     if not parts:
         return small_rows(spark, [], "s string, p string, o string")
-    return reduce(DataFrame.unionAll, parts)
+    out = reduce(DataFrame.unionAll, parts)
+    for column, node in (("s", subject), ("o", target)):
+        if node is not None:
+            out = out.where(out[column] == node)
+    return out
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,18 +7,19 @@ fact, whose probability moves away from a half and never across it.
 
 from __future__ import annotations
 
-import uuid
+import os
+import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from triplewright.operators import paths
-from triplewright.plans.native import Rule, read
+from triplewright.plans.native import Rule, read, show_rule
 from triplewright.plans.patterns import Matcher
 from triplewright.plans.rules import FACTS, Engine, Inference, triples_of
 from triplewright.plans.sparql import SparqlPlan
-from triplewright.storage import small_rows
+from triplewright.storage import small_rows, stored
 from triplewright.terms import NIL, Atom, Fact, SetTerm, Term, Var, compact_list, fact_key, fact_key_column, inner_facts, key, make_list
 
 NAMES = "node string, lang string, name string"
@@ -58,10 +59,19 @@ class Graph:
     read_only: bool = False
     languages: dict[str, Callable] = field(default_factory=dict)
     number: Callable[[str], Term] | None = None
+    display: Callable = F.col
+    doubts: bool = True
+    blank: bool = False
+    kept: dict[str, DataFrame] = field(default_factory=dict)
+    kept_of: DataFrame | None = None
 
     @classmethod
     def empty(cls, spark: SparkSession) -> Graph:
-        return cls(spark, small_rows(spark, [], FACTS), small_rows(spark, [], NAMES), small_rows(spark, [], "src string, dst string, w double"))
+        return cls(doubts=False, blank=True, spark=spark, **dict(zip(("facts", "names", "synapses"), cls._tables(spark))))
+
+    @staticmethod
+    def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+        return (small_rows(spark, [], FACTS), small_rows(spark, [], NAMES), small_rows(spark, [], "src string, dst string, w double"))
 
     # -- making facts
 
@@ -103,27 +113,44 @@ class Graph:
                 terms.append((t, prob))
             else:
                 raise ValueError(f"{f} is no fact")
-        out = self.insert(self.rows(terms)) if terms else self
+        out = self._insert(self.rows(terms), min(1.0, prob)) if terms else self
         return replace(out, rules=(*out.rules, *rules))
 
     def insert(self, rows: DataFrame, trusted: bool = False) -> Graph:
         """Add a table of facts.  ``trusted`` appends it as it is: it must hold no known fact."""
+        return self._insert(rows, 0.0, trusted)
+
+    def _insert(self, rows: DataFrame, least: float, trusted: bool = False, distinct: bool = False) -> Graph:
+        """``least``: no row has a lower probability; ``distinct``: no two rows are one fact.  Facts are looked through for clashes only if some may be held wrong."""
         self._own()
-        if trusted:
-            return replace(self, facts=self.facts.unionByName(rows.select(*COLUMNS)))
-        both = merged(self.facts.unionByName(rows.select(*COLUMNS)))
-        clash = both.where("__low < 0.5 and __high > 0.5").limit(1).collect()
-        if clash:
-            r = clash[0]
-            raise ContradictingFact(f"{r['s']} {r['p']} {r['objects']} is known otherwise")
-        return replace(self, facts=both.select(*COLUMNS))
+        doubts = self.doubts or least < 0.5
+        if trusted or self.blank and distinct:
+            return replace(self, facts=rows.select(*COLUMNS) if self.blank else self.facts.unionByName(rows.select(*COLUMNS)), doubts=doubts, blank=False)
+        both = merged(rows.select(*COLUMNS) if self.blank else self.facts.unionByName(rows.select(*COLUMNS)))
+        if doubts:
+            both = stored(both)
+            clash = both.where("__low < 0.5 and __high > 0.5").limit(1).collect()
+            if clash:
+                r = clash[0]
+                raise ContradictingFact(f"{r['s']} {r['p']} {r['objects']} is known otherwise")
+        return replace(self, facts=both.select(*COLUMNS), doubts=doubts, blank=False)
+
+    def delta(self, before: Graph) -> DataFrame:
+        """The facts, inner ones with them, that this graph has and ``before`` hasn't."""
+        return self.facts.join(before.facts.select("fact_id"), "fact_id", "left_anti").select(*COLUMNS)
+
+    def observe(self, rows: DataFrame, watch: Callable[[DataFrame], None]) -> Graph:
+        """``insert``, which gives ``watch`` the facts that are new by it, written once."""
+        grown = self.insert(rows)
+        watch(stored(grown.delta(self)))
+        return grown
 
     def insert_triples(self, df: DataFrame, prob: float = 1.0) -> Graph:
         """Add a table of (``s``, ``p``, ``o``), each row a fact of one object; rows with nulls or ``p = o`` are left out."""
         rows = df.select("s", "p", "o").where("s is not null and p is not null and o is not null and p <> o").distinct()
         objects = F.array("o")
         facts = rows.select(fact_key_column(F.col("s"), F.col("p"), objects).alias("fact_id"), "s", "p", objects.alias("objects"), F.lit(prob).alias("prob"), F.lit(False).alias("derived"), F.lit(0).alias("iter"), F.lit(None).cast("string").alias("rule_id"), F.lit(self.cluster).cast("string").alias("cluster"), F.lit(None).cast("array<string>").alias("premises"))
-        return self.insert(facts)
+        return self._insert(facts, prob, distinct=True)
 
     def read(self, text: str, **names: Term):
         return read(text, self.number, names) if self.number else read(text, names=names)
@@ -155,6 +182,13 @@ class Graph:
         """(``fact_id``, ``s``, ``p``, ``o``): a row for each object of each fact that isn't known to be wrong."""
         return triples_of(self.facts)
 
+    def keep_edges(self, *predicates: str) -> Graph:
+        """The graph with adjacency tables of some predicates, written once; closures and queries read them until facts change."""
+        return replace(self, kept={p: paths.kept_edges(self.edges(p)) for p in predicates}, kept_of=self.facts)
+
+    def _kept(self) -> dict[str, DataFrame]:
+        return self.kept if self.kept_of is self.facts else {}
+
     def edges(self, predicate: str) -> DataFrame:
         return self.triples.where(F.col("p") == predicate).select("s", "o")
 
@@ -175,7 +209,8 @@ class Graph:
         return "unknown" if not found or found[0]["prob"] == 0.5 else "correct" if found[0]["prob"] > 0.5 else "wrong"
 
     def closure(self, start: str, predicate: str, reflexive: bool = False, backward: bool = False) -> DataFrame:
-        return paths.reach(self.edges(predicate), small_rows(self.spark, [(start,)], "node string"), reflexive, backward)
+        kept = self._kept().get(predicate)
+        return paths.reach(self.edges(predicate) if kept is None else kept, small_rows(self.spark, [(start,)], "node string"), reflexive, backward, kept is not None)
 
     def nodes(self) -> DataFrame:
         """Every node that a fact or a name mentions, with its kind."""
@@ -239,7 +274,7 @@ class Graph:
     # -- queries and rules
 
     def sparql(self, text: str) -> DataFrame:
-        return SparqlPlan(self.triples).run(text)
+        return SparqlPlan(self.triples, kept=self._kept()).run(text)
 
     def match(self, pattern, networks: dict[str, DataFrame] | None = None) -> DataFrame:
         """Distinct bindings of a pattern or of several conditions (text or parsed)."""
@@ -276,6 +311,18 @@ class Graph:
     def without_rules(self) -> Graph:
         return replace(self, rules=())
 
+    def list_rules(self) -> DataFrame:
+        """(``place``, ``rule``): the rules as text, in order."""
+        return small_rows(self.spark, [(k, show_rule(r)) for k, r in enumerate(self.rules)], "place int, rule string")
+
+    def remove_rule(self, which: int | str) -> Graph:
+        """Without one rule, by its place or its text."""
+        wanted = self.read(which) if isinstance(which, str) else self.rules[which]
+        kept = [r for r in self.rules if (r.body, r.heads) != (wanted.body, wanted.heads)]
+        if len(kept) == len(self.rules):
+            raise ValueError(f"no such rule: {which}")
+        return replace(self, rules=tuple(kept))
+
     def infer(self, mode: str = "semi-naive", networks: dict[str, DataFrame] | None = None) -> tuple[Graph, Inference]:
         """Run the rules; the graph with what they add, and the outcome."""
         out = Engine(list(self.rules), networks or {}, mode).run(self.facts)
@@ -380,11 +427,15 @@ class Graph:
     # -- files
 
     def save(self, path: str) -> None:
-        """Facts (by predicate), names, synapses as Parquet, rules as text."""
-        self.facts.withColumn("part", F.pmod(F.xxhash64("p"), F.lit(64))).repartition("part").sortWithinPartitions("p", "s").write.mode("overwrite").partitionBy("part").parquet(f"{path}/facts")
+        """Facts (in parts of predicates, each in as many files as it takes), names, synapses as Parquet, rules as text."""
+        for r in self.rules:
+            again = read(show_rule(r))
+            if (again.body, again.heads) != (r.body, r.heads):
+                raise ValueError(f"the rule can't be written as text: {r}")
+        self.facts.withColumn("part", F.pmod(F.xxhash64("p"), F.lit(64))).repartitionByRange("part", "p", "s").sortWithinPartitions("part", "p", "s").write.mode("overwrite").partitionBy("part").parquet(f"{path}/facts")
         self.names.write.mode("overwrite").parquet(f"{path}/names")
         self.synapses.write.mode("overwrite").parquet(f"{path}/synapses")
-        small_rows(self.spark, [(r.name or None, repr(r)) for r in self.rules] or [], "text string, shown string").coalesce(1).write.mode("overwrite").parquet(f"{path}/rules")
+        small_rows(self.spark, [(k, r.name or show_rule(r)) for k, r in enumerate(self.rules)], "place int, text string").coalesce(1).write.mode("overwrite").parquet(f"{path}/rules")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, predicates: list[str] | None = None, nodes: list[str] | None = None, meta_only: bool = False) -> Graph:
@@ -397,11 +448,83 @@ class Graph:
             facts = facts.where(F.col("part").isin(parts) & F.col("p").isin(predicates))
         if nodes is not None:
             facts = facts.where(F.col("s").isin(nodes) | F.arrays_overlap("objects", F.array(*map(F.lit, nodes))))
-        rules = tuple(read(r["text"]) for r in spark.read.parquet(f"{path}/rules").where("text is not null").collect())
+        rules = tuple(read(r["text"]) for r in spark.read.schema("place int, text string").parquet(f"{path}/rules").orderBy("place").collect())
         part = predicates is not None or nodes is not None or meta_only
         return cls(spark, facts.select(*COLUMNS), spark.read.parquet(f"{path}/names"), spark.read.parquet(f"{path}/synapses"), rules, read_only=part)
 
-    def run_script(self, text: str) -> Graph:
-        """Statements, one a line; ``#`` starts a comment.  Facts and rules are added in turn."""
-        lines = [line.split("#")[0].strip() if '"' not in line else line.strip() for line in text.splitlines()]
-        return self.add(*[line for line in lines if line and not line.startswith(".")])
+    @staticmethod
+    def file_stats(spark: SparkSession, path: str) -> DataFrame:
+        """What each file of a saved graph holds: (``file``, ``bytes``, ``facts``, ``predicates``, ``first``, ``last``), subjects from first to last."""
+        rows = spark.read.parquet(f"{path}/facts").select("s", "p", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))
+        return rows.groupBy("file", "bytes").agg(F.count("*").alias("facts"), F.sort_array(F.collect_set("p")).alias("predicates"), F.min("s").alias("first"), F.max("s").alias("last"))
+
+    def save_sharded(self, path: str) -> None:
+        """``save``, and beside it a manifest of the files, from which ``load_routed`` opens only those that it needs."""
+        self.save(path)
+        self.file_stats(self.spark, path).write.mode("overwrite").parquet(f"{path}/manifest")
+
+    @classmethod
+    def load_routed(cls, spark: SparkSession, path: str, subjects: list[str] | None = None, predicates: list[str] | None = None) -> Graph:
+        """The facts of some subjects or predicates out of a sharded graph; no other file is opened.  The graph is read-only."""
+        files = spark.read.parquet(f"{path}/manifest")
+        if predicates is not None:
+            files = files.where(F.arrays_overlap("predicates", F.array(*map(F.lit, predicates))))
+        if subjects is not None:
+            files = files.where(F.exists(F.array(*map(F.lit, subjects)), lambda s: (F.col("first") <= s) & (s <= F.col("last"))))
+        chosen = [r["file"] for r in files.select("file").collect()]
+        schema = spark.read.parquet(f"{path}/facts").schema
+        facts = spark.read.schema(schema).option("basePath", f"{path}/facts").parquet(*chosen) if chosen else small_rows(spark, [], FACTS)
+        for column, wanted in (("p", predicates), ("s", subjects)):
+            if wanted is not None:
+                facts = facts.where(F.col(column).isin(wanted))
+        whole = cls.load(spark, path, meta_only=True)
+        return replace(whole, facts=facts.select(*COLUMNS))
+
+    def rendered(self, nodes: DataFrame, lang: str = "en", depth: int = 3) -> DataFrame:
+        """(``node``, ``text``): nodes as text, by their names in ``lang``, else in English, else in any; facts as what they say, ``depth`` deep.
+
+        ``display`` of the graph, a function of a name's column, has the last word on how a name is shown.
+        """
+        best = F.min(F.struct(F.when(F.col("lang") == lang, 0).when(F.col("lang") == "en", 1).otherwise(2).alias("r"), "lang", "name"))
+        called = self.names.groupBy("node").agg(best.alias("x")).select("node", F.col("x.name").alias("name"))
+        parts = self.facts.select(F.col("fact_id").alias("node"), F.posexplode(F.concat(F.array("s", "p"), "objects")).alias("at", "part"))
+
+        def text(wanted: DataFrame, left: int) -> DataFrame:
+            plain = wanted.join(called, "node", "left").select("node", F.coalesce("name", "node").alias("text")).select("node", self.display("text").alias("text"))
+            if not left:
+                return plain
+            inside = wanted.where(F.col("node").startswith("f:")).join(parts, "node")
+            below = text(inside.select(F.col("part").alias("node")).distinct(), left - 1)
+            said = inside.join(below.withColumnRenamed("node", "part"), "part").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("at", "text"))).alias("x"))
+            said = said.select("node", F.concat(F.lit("("), F.array_join("x.text", " "), F.lit(")")).alias("said"))
+            return plain.join(said, "node", "left").select("node", F.coalesce("said", "text").alias("text"))
+
+        return text(nodes.select("node").distinct(), depth)
+
+    def run_script(self, text: str, folders: tuple[str, ...] = (), _seen: frozenset = frozenset()) -> Graph:
+        """Statements, one a line; ``#`` outside quotes starts a comment.  Facts and rules are added in turn.
+
+        ``.import name`` runs the script of that name, with or without an
+        ending of ``.rules``, in the first of ``folders`` that has it, once;
+        ``.auto-run`` infers after every statement that follows, until
+        ``.auto-run off``.  Other lines that begin with a dot are left out.
+        """
+        out, auto = self, False
+        for line in text.splitlines():
+            line = re.match(r'(?:"[^"]*"|[^"#])*', line)[0].strip()
+            if line.startswith(".import "):
+                name = line[8:].strip().strip('"')
+                found = next((p for f in folders for p in (f"{f}/{name}", f"{f}/{name}.rules") if os.path.isfile(p)), None)
+                if found is None:
+                    raise FileNotFoundError(f"no script {name} in {', '.join(folders) or 'no folder'}")
+                if found not in _seen:
+                    _seen |= {found}
+                    with open(found, encoding="utf-8") as f:
+                        out = out.run_script(f.read(), folders, _seen)
+            elif line.startswith(".auto-run"):
+                auto = not line.endswith("off")
+            elif line and not line.startswith("."):
+                out = out.add(line)
+                if auto:
+                    out = out.infer()[0]
+        return out

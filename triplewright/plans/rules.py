@@ -22,6 +22,34 @@ from triplewright.terms import Fact, SetTerm, Term, Var, fact_key_column, key, v
 FACTS = "fact_id string, s string, p string, objects array<string>, prob double, derived boolean, iter int, rule_id string, cluster string, premises array<string>"
 
 
+#: Rounds after which all facts are written anew as one table, so that plans don't grow with the rounds.
+COMPACT = 16
+
+
+def predicates_of(term: Term) -> set[str] | None:
+    """Keys of the predicates of a fact and of the facts in it; None if one may be any."""
+    out: set[str] = set()
+    for part in (term.s, term.p, *term.objects) if isinstance(term, Fact) else (term.elements if isinstance(term, SetTerm) else ()):
+        if isinstance(part, SetTerm) and variables(part):
+            return None
+        inner = predicates_of(part)
+        if inner is None:
+            return None
+        out |= inner
+    if isinstance(term, Fact):
+        if variables(term.p):
+            return None
+        out.add(key(term.p))
+    return out
+
+
+def feeds(makers: list[Rule], users: list[Rule]) -> bool:
+    """Whether some fact that ``makers`` conclude may match a condition of ``users``."""
+    made = [predicates_of(h) for r in makers for h in r.heads]
+    used = [predicates_of(c.fact) if isinstance(c, Pattern | Not) else None if isinstance(c, Near) else set() for r in users if r.heads for c in r.body]
+    return any(m is None and u != set() or u is None or m & u for m in made for u in used)
+
+
 class TooManyRounds(RuntimeError):
     """Rules still add facts after the allowed number of rounds."""
 
@@ -69,16 +97,21 @@ class Engine:
         if any(p in made for p in negated):
             warnings.warn("a rule with a negation makes facts that another one negates; such rules all see the state before their round", stacklevel=2)
 
-    def run(self, facts: DataFrame) -> Inference:
+    def run(self, facts: DataFrame, fresh: DataFrame | None = None) -> Inference:
+        """Infer over ``facts``.  With ``fresh``, those of them that came after an earlier fixpoint, the first round starts from these alone."""
         spark = facts.sparkSession
         known = facts if set(facts.columns) >= {"premises"} else facts.withColumn("premises", F.lit(None).cast("array<string>"))
         known = stored(known.select(*[c.split()[0] for c in FACTS.split(", ")]))
-        start, contradictions, rounds, delta = known, [], 0, None
+        added, contradictions, rounds, delta = [], [], 0, fresh
         wrong = known.where("prob < 0.5 and not derived").select("fact_id")
         self._wrong = None if wrong.isEmpty() else wrong
         self._against = contradictions
         positive = [k for k, r in enumerate(self.rules) if not r.deferred]
         deferred = [k for k, r in enumerate(self.rules) if r.deferred]
+        of = lambda group: [self.rules[k] for k in group]
+        again = self.mode == "naive" or feeds(of(positive), of(positive))
+        back = self.mode == "naive" or feeds(of(deferred), self.rules)
+        grew = False
         while True:
             # positive rules to their fixpoint; then the others, all against the same state
             for group in (positive, deferred):
@@ -90,11 +123,13 @@ class Engine:
                     grew = not new.isEmpty()
                     if grew:
                         known = known.unionByName(new)
-                        delta = new if delta is None or group is positive else delta.unionByName(new)
-                    if group is deferred or not grew or self.mode == "once":
+                        added.append(new)
+                        if rounds % COMPACT == 0:
+                            known, added = stored(known), [stored(reduce(DataFrame.unionByName, added))]
+                    if group is deferred or not grew or self.mode == "once" or not again:
                         break
                     delta = new if self.mode != "naive" else None
-            if not deferred or self.mode == "once" or not grew:
+            if not deferred or self.mode == "once" or not grew or not back:
                 break
             delta = new if self.mode != "naive" else None
         if self.mode == "check":
@@ -105,7 +140,7 @@ class Engine:
         for k, rule in enumerate(self.rules):
             if not rule.heads:
                 contradictions.append(self.clashes(matcher.body(rule.body, proof=True).df, k))
-        new = known.join(start.select("fact_id").distinct(), "fact_id", "left_anti")
+        new = reduce(DataFrame.unionByName, added) if added else known.where(F.lit(False))
         return Inference(known, new, stored(reduce(DataFrame.unionByName, contradictions).distinct()), rounds) if contradictions else Inference(known, new, small_rows(spark, [], "rule_id string, bindings array<string>, premises array<string>"), rounds)
 
     # -- one round

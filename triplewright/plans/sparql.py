@@ -20,13 +20,16 @@ from triplewright.storage import small_rows
 class SparqlPlan:
     """Compiles queries over ``triples`` (``s``, ``p``, ``o``; strings).
 
-    ``counts`` may hold the number of triples by predicate; it only orders joins.
+    ``counts`` may hold the number of triples by predicate; it only orders
+    joins.  ``kept`` holds adjacency tables by predicate and takes those that
+    queries make.
     """
 
-    def __init__(self, triples: DataFrame, counts: dict[str, int] | None = None):
+    def __init__(self, triples: DataFrame, counts: dict[str, int] | None = None, kept: dict[str, DataFrame] | None = None):
         self.triples = triples.select("s", "p", "o")
         self.counts = counts or {}
         self.closures: dict[tuple, DataFrame] = {}
+        self.kept = {} if kept is None else kept
 
     def run(self, text: str) -> DataFrame:
         return self.select(parse(text))
@@ -77,9 +80,30 @@ class SparqlPlan:
         k = (predicate, start, backward, reflexive)
         if k not in self.closures:
             starts = small_rows(self.triples.sparkSession, [(start,)], "node string")
-            self.closures[k] = paths.reach(self.edges(predicate), starts, reflexive, backward)
+            self.closures[k] = paths.reach(self.kept_edges(predicate), starts, reflexive, backward, kept=True)
         return self.closures[k]
 
+    def kept_edges(self, predicate: str) -> DataFrame:
+        """A predicate's adjacency, written once for all closures of a query, or for the graph that keeps it."""
+        if predicate not in self.kept:
+            self.kept[predicate] = paths.kept_edges(self.edges(predicate))
+        return self.kept[predicate]
+
+    def together(self, closures: list[Closure]) -> None:
+        """Closures of one predicate and direction from several constants, in one loop over all of them."""
+        groups: dict[tuple, list[str]] = {}
+        for c in closures:
+            backward = isinstance(c.o, Const)
+            k = (c.predicate, (c.o if backward else c.s).key, backward, c.modifier == "*")
+            if k not in self.closures:
+                groups.setdefault((k[0], *k[2:]), []).append(k[1])
+        for (predicate, backward, reflexive), starts in groups.items():
+            if len(set(starts)) > 1:
+                table = small_rows(self.triples.sparkSession, [(s,) for s in sorted(set(starts))], "node string")
+                pairs = paths.reach_pairs(self.kept_edges(predicate), table, reflexive, backward, kept=True)
+                for s in set(starts):
+                    self.closures[predicate, s, backward, reflexive] = pairs.where(F.col("start") == s).select("node")
+
     def steps(self, steps: list[Closure], now: Solutions) -> Solutions:
         rest = list(steps)
         while rest:
@@ -87,8 +111,8 @@ class SparqlPlan:
             same = [c for c in rest if self.meets(c, step, now)]
             if len(same) > 1:  # closures from several constants that meet in one variable
                 name = self.free_end(step).name
-                sets = [self.anchored(c) for c in same]
-                nodes = paths.intersect(sets, [s.count() for s in sets])
+                self.together(same)
+                nodes = paths.intersect([self.anchored(c) for c in same])
                 now = joins.natural(now, Solutions(nodes.select(F.col("node").alias(name))))
                 rest = [c for c in rest if c not in same]
             else:
@@ -134,7 +158,7 @@ class SparqlPlan:
             raise QueryError("a * path needs a bound end")
         here, there = (c.s.name, c.o.name) if forward or not back else (c.o.name, c.s.name)
         starts = now.df.select(F.col(here).alias("node")) if here in now.names else None
-        pairs = paths.reach_pairs(self.edges(c.predicate), starts, reflexive, back and not forward)
+        pairs = paths.reach_pairs(self.kept_edges(c.predicate), starts, reflexive, back and not forward, kept=True)
         if here == there:
             return joins.natural(now, Solutions(pairs.where("start = node").select(F.col("start").alias(here))))
         return joins.natural(now, Solutions(pairs.select(F.col("start").alias(here), F.col("node").alias(there))))

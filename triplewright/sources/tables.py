@@ -27,8 +27,9 @@ def record_facts(records: DataFrame, subject: str) -> DataFrame:
     return records.select(F.col(subject).cast("string").alias("s"), F.explode(pairs).alias("x")).select("s", "x.p", "x.o").where("o is not null").distinct()
 
 
-def json_records(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    reader = spark.read.option("multiLine", True)
+def json_records(spark: SparkSession, path: str, schema: str | None = None, lines: bool = False) -> DataFrame:
+    """The records of JSON files that are arrays, or with ``lines`` one record a line, which large files can be split by."""
+    reader = spark.read.option("multiLine", not lines)
     return (reader.schema(schema) if schema else reader).json(path)
 
 
