@@ -619,6 +619,16 @@ def test_short_texts_are_learned_from(spark):
     assert (pseudo_lm.train(table.limit(500), words, "text", 8, 0.01, 0).flat != pseudo_lm.Network.fresh(words, 0).flat).any()
 
 
+def test_vocabulary_finds_every_word():
+    rng = np.random.default_rng(3)
+    h = np.sort(rng.integers(0, 1 << 63, 4032).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+    numbers = rng.permutation(len(h))
+    asked = np.concatenate([h, h + np.uint64(1), rng.integers(0, 1 << 63, 5000).astype(np.uint64)])
+    with_table, without = pseudo_lm.Vocabulary.of(h, numbers, None), pseudo_lm.Vocabulary(h, numbers, None)
+    assert with_table.table is not None and (with_table.look_up(h) == numbers).all()
+    assert (with_table.look_up(asked) == without.look_up(asked)).all() and (with_table.look_up(h + np.uint64(1)) >= pseudo_lm.NAMED).all()
+
+
 def test_network_gradient():
     rng = np.random.default_rng(0)
     vocabulary = pseudo_lm.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.log(np.full(pseudo_lm.WORDS, 1 / pseudo_lm.WORDS)))

@@ -26,8 +26,10 @@ REACH, EMBED, HIDDEN = 2, 16, 48
 CONTEXT = 2 * REACH
 #: Words predicted in one step of training, and in one step of scoring.
 MINIBATCH, SCORE_BATCH = 1024, 8192
-#: After so many steps of a task, steps are of four minibatches: a third less time a word.
-SMALL_STEPS = 200
+#: After so many steps of a task, steps are of eight minibatches: a third less time a word.
+SMALL_STEPS, LARGE_STEP = 64, 8
+#: Logits up to this size either way need no scaling before their exponential.
+SAFE = 60.0
 CHUNK = 16_384
 #: Occurrences that every word of the rest, and one that wasn't counted, has besides its own.
 SMOOTH = 0.1
@@ -38,18 +40,43 @@ COUNTS = 200_000
 
 
 class Vocabulary(NamedTuple):
-    """Hashes of the named words (sorted), the word number of each, and all words' log-shares."""
+    """Hashes of the named words (sorted), the word number of each, all words' log-shares, and a table that finds a hash's place by its low bits."""
 
     hashes: np.ndarray
     numbers: np.ndarray
     log_share: np.ndarray
+    table: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, numbers: np.ndarray, log_share: np.ndarray) -> Vocabulary:
+        """With the smallest table in which each hash has one of two places, by its low or its high bits."""
+        for bits in range(14, 24):
+            table, placed = np.full(1 << bits, -1, np.int16), np.zeros(len(hashes), bool)
+            for where in (hashes & U64((1 << bits) - 1), hashes >> U64(64 - bits)):
+                where = where.astype(np.int64)
+                todo = np.flatnonzero(~placed)
+                todo = todo[table[where[todo]] < 0]
+                table[where[todo]] = todo
+                placed[todo] = table[where[todo]] == todo
+            if placed.all():
+                return cls(hashes, numbers, log_share, table)
+        return cls(hashes, numbers, log_share)
 
     def look_up(self, h: np.ndarray) -> np.ndarray:
-        rest = NAMED + (h & U64(PER_CLASS - 1)).astype(np.int64)
+        out = NAMED + (h & U64(PER_CLASS - 1)).astype(np.uint16)
         if not len(self.hashes):
-            return rest
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.numbers[at], rest)
+            return out
+        if self.table is None:
+            tries = [(slice(None), np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1))]
+        else:
+            bits = len(self.table).bit_length() - 1
+            at = self.table[(h & U64(len(self.table) - 1)).astype(np.int64)]
+            rest = np.flatnonzero(self.hashes[at] != h)
+            tries = [(slice(None), at), (rest, self.table[(h[rest] >> U64(64 - bits)).astype(np.int64)])]
+        for where, at in tries:  # a place of -1 is the last hash's, which is compared like the others
+            hit = self.hashes[at] == h[where]
+            out[where] = np.where(hit, self.numbers[at], out[where])
+        return out
 
 
 def count_words(docs: DataFrame, text_column: str) -> DataFrame:
@@ -110,7 +137,7 @@ def vocabulary(docs: DataFrame, text_column: str) -> tuple[Vocabulary, Rest]:
     left = share[NAMED:].copy()
     order = np.argsort(h)
     share = np.maximum(share, 0) + 0.1
-    return Vocabulary(h[order], np.arange(len(h))[order], np.log(share / share.sum()).astype(np.float32)), Rest(counted, left, words)
+    return Vocabulary.of(h[order], np.arange(len(h))[order], np.log(share / share.sum()).astype(np.float32)), Rest(counted, left, words)
 
 
 def _part(h: np.ndarray, parts: int) -> np.ndarray:
@@ -168,7 +195,7 @@ def rest_shares(asked: DataFrame, rest: Rest, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64) + row.as_py()), pa.array(sums[own])], names=["row", "log_rest"])
 
     counts = arrow_map(rest.counted, blobs, "part long, h binary, who binary").select("part", F.lit(None).cast("long").alias("row"), "h", "who", F.lit(None).cast("binary").alias("word"))
-    both = counts.unionByName(asked).repartition(parts, "part").sortWithinPartitions("part", F.asc_nulls_first("row"))
+    both = counts.unionByName(asked).repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", F.asc_nulls_first("row"))
     return arrow_map(both, run, "row long, log_rest double").groupBy("row").agg(F.sum("log_rest").alias("log_rest"))
 
 
@@ -207,46 +234,58 @@ class Network:
     def forward(self, context: np.ndarray, word: np.ndarray, back: Network | None = None) -> np.ndarray:
         """Log-probability of each word given its context; adds to the gradients of ``back``."""
         n = len(word)
+        order = np.argsort((word // PER_CLASS).astype(np.uint8), kind="stable")  # a class's words are neighbours
+        context, word = context[order], word[order]
+        kind, within, rows = word // PER_CLASS, word % PER_CLASS, np.arange(n)
+        edge = np.searchsorted(kind, np.arange(CLASSES + 1))
         x = self.embed[context].reshape(n, CONTEXT * EMBED)
-        h = np.tanh(x @ self.w1 + self.b1)
-        z = h @ self.wc + self.bc
-        z -= z.max(1, keepdims=True)
-        e = np.exp(z)
-        s = e.sum(1)
-        kind, within = word // PER_CLASS, word % PER_CLASS
-        rows = np.arange(n)
-        out = z[rows, kind] - np.log(s)
-        order = np.argsort(kind, kind="stable")
-        edge = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        h = x @ self.w1
+        h += self.b1
+        np.tanh(h, out=h)
+        z = h @ self.wc
+        z += self.bc
+        if (np.abs(self.bc) + np.abs(self.wc).sum(0)).max() > SAFE:  # h is within -1 and 1
+            z -= z.max(1, keepdims=True)
+        logs = z[rows, kind]
+        np.exp(z, out=z)
+        s = z.sum(1)
+        logs -= np.log(s)
         if back is not None:
-            g = e / s[:, None]
-            g[rows, kind] -= 1
-            back.wc += h.T @ g
-            back.bc += g.sum(0)
-            dh = g @ self.wc.T
+            z /= s[:, None]
+            z[rows, kind] -= 1
+            back.wc += h.T @ z
+            back.bc += z.sum(0)
+            dh = z @ self.wc.T
+        wide = (np.abs(self.bo) + np.abs(self.wo).sum(1)).max(1) > SAFE
         for c in np.flatnonzero(np.diff(edge)).tolist():
-            own = order[edge[c] : edge[c + 1]]
-            hc = h[own]
-            v = hc @ self.wo[c] + self.bo[c]
-            v -= v.max(1, keepdims=True)
-            ev = np.exp(v)
-            sv = ev.sum(1)
-            at = np.arange(len(own))
-            out[own] += v[at, within[own]] - np.log(sv)
+            own = slice(edge[c], edge[c + 1])
+            hc, to, at = h[own], within[own], rows[: edge[c + 1] - edge[c]]
+            v = hc @ self.wo[c]
+            v += self.bo[c]
+            if wide[c]:
+                v -= v.max(1, keepdims=True)
+            logs[own] += v[at, to]
+            np.exp(v, out=v)
+            sv = v.sum(1)
+            logs[own] -= np.log(sv)
             if back is not None:
-                ev /= sv[:, None]
-                ev[at, within[own]] -= 1
-                back.wo[c] += hc.T @ ev
-                back.bo[c] += ev.sum(0)
-                dh[own] += ev @ self.wo[c].T
+                v /= sv[:, None]
+                v[at, to] -= 1
+                back.wo[c] += hc.T @ v
+                back.bo[c] += v.sum(0)
+                dh[own] += v @ self.wo[c].T
         if back is not None:
-            dh *= 1 - h * h
+            np.multiply(h, h, out=h)
+            np.subtract(1, h, out=h)
+            dh *= h
             back.w1 += x.T @ dh
             back.b1 += dh.sum(0)
             dx = (dh @ self.w1.T).reshape(n * CONTEXT, EMBED)
             flat = context.ravel()
             for k in range(EMBED):
                 back.embed[:, k] += np.bincount(flat, dx[:, k], WORDS + 1)
+        out = np.empty_like(logs)
+        out[order] = logs
         return out
 
 
@@ -260,7 +299,7 @@ def windows(numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
         j = at + step
         ok = (j >= begin) & (j < end)
         columns.append(np.where(ok, numbers[np.clip(j, 0, max(n - 1, 0))], WORDS) if n else numbers)
-    return np.stack(columns, 1)
+    return np.stack(columns, 1).astype(np.uint16)
 
 
 def train(docs: DataFrame, words: Vocabulary, text_column: str, stride: int, rate: float, seed: int, rounds: int = 2) -> Network:
@@ -296,11 +335,21 @@ def _trained(docs: DataFrame, words: Vocabulary, start: Network, text_column: st
             step += 1
             grad = Network(np.zeros_like(net.flat))
             net.forward(context, word, grad)
-            g = grad.flat / len(word)
-            m[:] = 0.9 * m + 0.1 * g
-            s[:] = 0.999 * s + 0.001 * g * g
+            g = grad.flat
+            g /= len(word)
+            np.multiply(m, 0.9, out=m)
+            np.add(m, 0.1 * g, out=m)
+            np.multiply(s, 0.999, out=s)
+            g *= g
+            g *= 0.001
+            np.add(s, g, out=s)
             now = rate / np.sqrt(1 + step / 100)
-            net.flat -= np.float32(now / (1 - 0.9**step)) * m / (np.sqrt(s / np.float32(1 - 0.999**step)) + np.float32(1e-6))
+            np.divide(s, 1 - 0.999**step, out=g)
+            np.sqrt(g, out=g)
+            g += 1e-6
+            np.divide(m, g, out=g)
+            g *= now / (1 - 0.9**step)
+            net.flat -= g
 
         for batch in batches:
             column = batch.column(0)
@@ -321,7 +370,7 @@ def _trained(docs: DataFrame, words: Vocabulary, start: Network, text_column: st
                     context, word = np.concatenate(contexts), np.concatenate(targets)
                     mixed, k = np.random.default_rng(step).permutation(len(word)), 0
                     while len(word) - k >= MINIBATCH:
-                        size = 4 * MINIBATCH if step >= SMALL_STEPS and len(word) - k >= 4 * MINIBATCH else MINIBATCH
+                        size = LARGE_STEP * MINIBATCH if step >= SMALL_STEPS and len(word) - k >= LARGE_STEP * MINIBATCH else MINIBATCH
                         learn(context[mixed[k : k + size]], word[mixed[k : k + size]])
                         k += size
                     seen += k
