@@ -26,8 +26,8 @@ REACH, EMBED, HIDDEN = 2, 16, 48
 CONTEXT = 2 * REACH
 #: Words predicted in one step of training, and in one step of scoring.
 MINIBATCH, SCORE_BATCH = 1024, 8192
-#: After so many steps of a task, steps are of eight minibatches: a third less time a word.
-SMALL_STEPS, LARGE_STEP = 64, 8
+#: After so many steps of a task, steps are of four minibatches: half the time a word.
+SMALL_STEPS, LARGE_STEP = 64, 4
 #: Logits up to this size either way need no scaling before their exponential.
 SAFE = 60.0
 CHUNK = 16_384
