@@ -10,8 +10,8 @@ import pytest
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 CHECKED = [
-    "q_disjointness_culprits", "A11_node_degrees", "P06_numbers_or_strings", "J03_unbound_join", "J05_anti", "J07_block_of_five", "J11_different_objects", "C04_cycle", "C05_intersection", "C06_from_each_bound", "C09_sequence",
-    "G05_unbound_key", "O03_top_k", "Q05_textual_order", "R06_negation", "R09_strata", "F07_divide", "F11_primality", "D04_prune_nodes",
+    "q_disjointness_culprits", "A11_node_detail", "A13_kept_adjacency", "P06_numbers_or_strings", "J03_unbound_join", "J05_anti", "J07_block_of_five", "J11_different_objects", "C04_cycle", "C05_intersection", "C06_from_each_bound", "C09_sequence",
+    "G05_unbound_key", "O03_top_k", "Q03_lists", "Q05_textual_order", "Q11_programmatic", "R18_remove_a_rule", "IO9_snapshot_of_rules", "IO11_routed_load", "IO16_script_with_import", "F16_rendering", "T03_delta", "R06_negation", "R09_strata", "F07_divide", "F11_primality", "D04_prune_nodes",
 ]
 
 
@@ -53,3 +53,14 @@ def test_without_the_text_operators(tmp_path):
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; assert e.queries() and not any(n.startswith('op') for n in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True, timeout=120)
+
+
+def test_anchored_keys_reach_the_scan(spark):
+    from triplewright.catalog import _anchored, triples
+
+    if not os.path.isdir(DATA):
+        pytest.skip("no tables here")
+    plan = triples(spark, DATA, ["contains_part"], s="order/7")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(l_orderkey,7)" in plan
+    assert _anchored("'order/' || o_orderkey", "part/7") is None and _anchored("'order/' || o_orderkey", "order/07") is None and _anchored("CAST(p_size AS STRING)", "7") == ""
+    assert triples(spark, DATA, ["located_in"], s="order/7").count() == 0

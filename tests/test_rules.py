@@ -172,3 +172,31 @@ def test_snapshots(make, tmp_path, spark):
 def test_engine_rejects():
     with pytest.raises(ValueError):
         Engine(["a p b"])
+
+
+def test_rules_as_text():
+    from triplewright.plans.native import show_rule
+    from triplewright.plans.rules import feeds
+
+    texts = ["(A p B, ¬(A q B)) => (A r B)", '(A "p q" B, A != B) => (B s A, A t "x y")', "(A p A) => !", "((A p B) q <1 2>) => (A ~ C)", "(A p B, ≈net(A p B)) => (A likes B)"]
+    for text in texts:
+        rule = read(text)
+        again = read(show_rule(rule))
+        assert (again.body, again.heads) == (rule.body, rule.heads), text
+    ends, goes = read("(A p B) => (B q A)"), read("(A q B, B q C) => (A q C)")
+    assert not feeds([ends], [ends]) and feeds([ends], [goes]) and feeds([goes], [goes]) and feeds([ends], [read("(A R B) => (B s A)")])
+    assert feeds([read("((A p B) known yes) => ((A q B) r yes)")], [goes])
+
+
+def test_state_outlives_the_program(spark, tmp_path):
+    from triplewright.graph import Graph
+    from triplewright.streaming.incremental import Incremental
+
+    rules = ("(A next B) => (A before B)", "(A before B, B next C) => (A before C)", "(A next B, B before C) => (A before C)")
+    for k, rows in enumerate(([("a", "next", "b")], [("c", "next", "d"), ("a", "next", "b")], [("b", "next", "c")])):
+        steps = Incremental(Graph.empty(spark).add(*rules, "x next y"))
+        spark.createDataFrame(rows, "s string, p string, o string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        steps.start(spark.readStream.schema("s string, p string, o string").parquet(str(tmp_path / "in")), str(tmp_path / "done")).awaitTermination()
+        last = steps.new[-1] if steps.new else None
+    assert sorted((r["s"], r["o"]) for r in steps.graph.triples.where("p = 'before'").collect()) == [("a", "b"), ("a", "c"), ("a", "d"), ("b", "c"), ("b", "d"), ("c", "d"), ("x", "y")]
+    assert sorted((r["s"], r["objects"][0]) for r in last.collect()) == [("a", "c"), ("a", "d"), ("b", "c"), ("b", "d")]
