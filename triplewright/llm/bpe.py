@@ -24,7 +24,7 @@ from triplewright.llm.textops import U64, Texts, span_hashes
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LETTER, NUMBER, OTHER, BLANK, SPACE = 1, 2, 3, 4, 5
 #: Pre-tokens that a worker's cache holds before it starts anew.
-CACHE_LIMIT = 4_000_000
+CACHE_LIMIT = 200_000
 
 
 def tokenizer_path(name: str) -> str:

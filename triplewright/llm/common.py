@@ -14,7 +14,7 @@ from triplewright.storage import discard, small_table, stored  # noqa: F401
 def session(spark: SparkSession) -> SparkSession:
     """Bound what one Arrow batch holds, in rows and bytes, so that long texts don't add up."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
 
 

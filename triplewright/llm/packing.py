@@ -12,7 +12,9 @@ from triplewright.llm.common import arrow_map
 from triplewright.llm.textops import as_texts, slices
 
 #: Tokens packed together: bounds a task's memory (4 bytes a token), at a cost of one part-filled window for each.
-GROUP_TOKENS = 8_000_000
+GROUP_TOKENS = 2_000_000
+#: Bytes of text encoded at once.
+STEP = 1 << 19
 
 
 class RoomTree:
@@ -161,7 +163,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", window: int = 10
         end = np.array([end_id], np.uint32)
         for batch in batches:
             column = batch.column(1)
-            for a, b in slices(column):
+            for a, b in slices(column, STEP):
                 ids, at = encoder.encode(as_texts(column.slice(a, b - a)))
                 first = 0
                 for k in range(b - a):

@@ -26,6 +26,9 @@ _HEX_LUT[[*b"0123456789abcdef"]] = True
 _RUN_LUT = np.zeros(256, bool)
 _RUN_LUT[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=~-"]] = True
 
+#: Bytes of text searched at once.
+STEP = 1 << 20
+
 #: What code and prose commonly hold; a candidate built of this compresses away.
 IDENTIFIERS = " ".join(
     """abstract access_token admin api_key application argument array async authorization await background base64 boolean
@@ -123,7 +126,7 @@ def _long_run(mask: np.ndarray, least: int, offsets: np.ndarray) -> np.ndarray:
 def find_spans(column: pa.Array, threshold: float, reach: int):
     """The spans of each text of a column, sorted by start and then kind."""
     rank = {k: i for i, k in enumerate(KINDS)}
-    for a, b in slices(column):
+    for a, b in slices(column, STEP):
         texts = as_texts(column.slice(a, b - a))
         data, offsets = texts
         lower = data.tobytes().lower()
@@ -178,36 +181,37 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", threshold: float = 0.8, reac
 
     Overlapping spans are replaced as one.  ``length_column``, where it
     exists, is set to the new text's code points if the text changed.  A null
-    text stays null.
+    text stays null; repeated rows change alike; an empty table stays empty.
     """
     names = docs.columns
     text_at = names.index(text_column)
     length_at = names.index(length_column) if length_column in names else None
 
     def run(batches):
-        for batch in batches:
-            column = batch.column(text_at)
-            new, changed = [], {}
-            for k, found in enumerate(find_spans(column, threshold, reach)):
-                if found:
-                    text, out, at = column[k].as_py(), [], 0
-                    for s, e, _ in found:
-                        if s >= at:
-                            out += [text[at:s], mark]
-                        at = max(at, e)
-                    changed[k] = "".join(out) + text[at:]
-            arrays = list(batch.columns)
-            if changed:
-                new = column.to_pylist()
-                for k, text in changed.items():
-                    new[k] = text
-                arrays[text_at] = pa.array(new, column.type)
-                if length_at is not None:
-                    sizes = batch.column(length_at).to_pylist()
+        for whole in batches:
+            for a, b in slices(whole.column(text_at), STEP):
+                batch = whole.slice(a, b - a)
+                column, changed = batch.column(text_at), {}
+                for k, found in enumerate(find_spans(column, threshold, reach)):
+                    if found:
+                        text, out, at = column[k].as_py(), [], 0
+                        for s, e, _ in found:
+                            if s >= at:
+                                out += [text[at:s], mark]
+                            at = max(at, e)
+                        changed[k] = "".join(out) + text[at:]
+                arrays = list(batch.columns)
+                if changed:
+                    new = column.to_pylist()
                     for k, text in changed.items():
-                        sizes[k] = len(text)
-                    arrays[length_at] = pa.array(sizes, batch.column(length_at).type)
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+                        new[k] = text
+                    arrays[text_at] = pa.array(new, column.type)
+                    if length_at is not None:
+                        sizes = batch.column(length_at).to_pylist()
+                        for k, text in changed.items():
+                            sizes[k] = len(text)
+                        arrays[length_at] = pa.array(sizes, batch.column(length_at).type)
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     from pyspark.sql.types import StructType
 
