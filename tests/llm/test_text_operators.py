@@ -488,6 +488,27 @@ def test_search_prunes():
     assert best.ids[0].tolist() == [0, 1]
 
 
+def test_search_sample_and_blocks(spark, docs, monkeypatch):
+    """A sample's k-th best changes no result, and thousands of queries are one block: two readings of the documents."""
+    queries = docs.select(F.col("doc_id").alias("query_id"), "text")
+    plain = sorted(map(tuple, bm25_search.search(docs, queries, k=2).collect()))
+    monkeypatch.setattr(bm25_search, "SAMPLE_FROM", 1)
+    monkeypatch.setattr(bm25_search, "SAMPLE", 4)
+    assert plain and sorted(map(tuple, bm25_search.search(docs, queries, k=2).collect())) == plain
+    many = spark.range(5000).select(F.col("id").alias("query_id"), F.lit("one two").alias("text"))
+    found = bm25_search.search(docs, many, k=1)
+    assert found._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 1
+
+
+def test_search_places():
+    rng = np.random.default_rng(5)
+    known = np.unique(np.concatenate([rng.integers(0, 2**64, 3000, np.uint64), np.arange(40, dtype=np.uint64), [np.uint64(2**64 - 1)]]))
+    asked = np.concatenate([known, rng.integers(0, 2**64, 3000, np.uint64), np.arange(60, dtype=np.uint64)])
+    at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+    assert (bm25_search.Places(known).find(asked) == np.where(known[at] == asked, at, -1)).all()
+    assert (bm25_search.Places(known[:0]).find(asked) == -1).all()
+
+
 # -- 7
 
 
