@@ -673,6 +673,27 @@ def test_network_gradient():
 # -- the registered queries against their contract, computed here
 
 
+def test_lm_steps(monkeypatch):
+    """A step takes exponentials for all classes at once, also where logits are large; windows are those of single words."""
+    rng = np.random.default_rng(2)
+    first = np.array([0, 0, 1, 3, 10, 10, 15])
+    numbers = rng.integers(0, pseudo_lm.WORDS, first[-1]).astype(np.uint16)
+    steps = [k for k in range(-pseudo_lm.REACH, pseudo_lm.REACH + 1) if k]
+    plain = [[int(numbers[i + k]) if a <= i + k < b else pseudo_lm.WORDS for k in steps] for a, b in zip(first[:-1], first[1:]) for i in range(a, b)]
+    assert pseudo_lm.windows(numbers, first).tolist() == plain and pseudo_lm.windows(numbers[:0], first[:1]).shape == (0, pseudo_lm.CONTEXT)
+    net = pseudo_lm.Network(rng.normal(0, 0.3, pseudo_lm.Network.size()).astype(np.float32))
+    net.bo[3], net.bc[5] = np.linspace(-500, 500, pseudo_lm.PER_CLASS), 300
+    context, word = rng.integers(0, pseudo_lm.WORDS + 1, (3000, pseudo_lm.CONTEXT)), rng.integers(0, pseudo_lm.WORDS, 3000)
+    h = np.tanh(net.embed[context].reshape(3000, -1).astype(float) @ net.w1 + net.b1)
+    z, v = h @ net.wc + net.bc, np.einsum("nh,nhk->nk", h, net.wo[word // pseudo_lm.PER_CLASS]) + net.bo[word // pseudo_lm.PER_CLASS]
+    expected = [x[np.arange(3000), at] - np.logaddexp.reduce(x, axis=1) for x, at in ((z, word // pseudo_lm.PER_CLASS), (v, word % pseudo_lm.PER_CLASS))]
+    calls, exp = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda *a, **k: calls.append(1) or exp(*a, **k))
+    grad = pseudo_lm.Network(np.zeros_like(net.flat))
+    assert net.forward(context, word, grad) == pytest.approx(sum(expected), rel=1e-4, abs=1e-4) and np.isfinite(grad.flat).all()
+    assert len(calls) == 2
+
+
 def test_queries_hold_to_the_contract(spark, docs, rows, tmp_path):
     from triplewright.llm import queries
 

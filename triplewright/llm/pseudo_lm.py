@@ -203,6 +203,17 @@ def _shapes() -> list[tuple[str, tuple[int, ...]]]:
     return [("embed", (WORDS + 1, EMBED)), ("w1", (CONTEXT * EMBED, HIDDEN)), ("b1", (HIDDEN,)), ("wc", (HIDDEN, CLASSES)), ("bc", (CLASSES,)), ("wo", (CLASSES, HIDDEN, PER_CLASS)), ("bo", (CLASSES, PER_CLASS))]
 
 
+def _exponentials(z: np.ndarray, at: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Turns logits into exponentials; returns each row's log-share of its place ``at`` in the flat array, and its sum."""
+    if not (z.max(initial=0) <= SAFE and z.min(initial=0) >= -SAFE):
+        z -= z.max(1, keepdims=True)
+    logs = z.ravel()[at]
+    np.exp(z, out=z)
+    s = z @ ones
+    logs -= np.log(s)
+    return logs, s
+
+
 class Network:
     """The weights, one flat array; word ``WORDS`` stands for a text's edge."""
 
@@ -238,52 +249,47 @@ class Network:
         context, word = context[order], word[order]
         kind, within, rows = word // PER_CLASS, word % PER_CLASS, np.arange(n)
         edge = np.searchsorted(kind, np.arange(CLASSES + 1))
-        x = self.embed[context].reshape(n, CONTEXT * EMBED)
-        h = x @ self.w1
+        x = self.embed.take(context, 0).reshape(n, CONTEXT * EMBED)
+        one = np.ones((n, HIDDEN + 1), self.flat.dtype)  # the hidden values, and a last one for the biases
+        h = one[:, :HIDDEN]
+        np.matmul(x, self.w1, out=h)
         h += self.b1
         np.tanh(h, out=h)
-        z = h @ self.wc
-        z += self.bc
-        if (np.abs(self.bc) + np.abs(self.wc).sum(0)).max() > SAFE:  # h is within -1 and 1
-            z -= z.max(1, keepdims=True)
-        logs = z[rows, kind]
-        np.exp(z, out=z)
-        s = z.sum(1)
-        logs -= np.log(s)
+        ones = np.ones(PER_CLASS, self.flat.dtype)
+        z = one @ np.concatenate([self.wc, self.bc[None]])
+        logs, s = _exponentials(z, rows * CLASSES + kind, ones[:CLASSES])
+        weights = np.concatenate([self.wo, self.bo[:, None]], 1)
+        v = np.empty((n, PER_CLASS), self.flat.dtype)
+        classes = [(c, slice(edge[c], edge[c + 1])) for c in np.flatnonzero(np.diff(edge)).tolist()]
+        for c, own in classes:
+            np.matmul(one[own], weights[c], out=v[own])
+        at = rows * PER_CLASS + within
+        more, sv = _exponentials(v, at, ones)
+        logs += more
         if back is not None:
             z /= s[:, None]
-            z[rows, kind] -= 1
-            back.wc += h.T @ z
-            back.bc += z.sum(0)
-            dh = z @ self.wc.T
-        wide = (np.abs(self.bo) + np.abs(self.wo).sum(1)).max(1) > SAFE
-        for c in np.flatnonzero(np.diff(edge)).tolist():
-            own = slice(edge[c], edge[c + 1])
-            hc, to, at = h[own], within[own], rows[: edge[c + 1] - edge[c]]
-            v = hc @ self.wo[c]
-            v += self.bo[c]
-            if wide[c]:
-                v -= v.max(1, keepdims=True)
-            logs[own] += v[at, to]
-            np.exp(v, out=v)
-            sv = v.sum(1)
-            logs[own] -= np.log(sv)
-            if back is not None:
-                v /= sv[:, None]
-                v[at, to] -= 1
-                back.wo[c] += hc.T @ v
-                back.bo[c] += v.sum(0)
-                dh[own] += v @ self.wo[c].T
-        if back is not None:
+            z.ravel()[rows * CLASSES + kind] -= 1
+            grad = one.T @ z
+            back.wc += grad[:HIDDEN]
+            back.bc += grad[HIDDEN]
+            v /= sv[:, None]
+            v.ravel()[at] -= 1
+            dh = np.empty((n, HIDDEN), self.flat.dtype)
+            for c, own in classes:
+                grad = one[own].T @ v[own]
+                back.wo[c] += grad[:HIDDEN]
+                back.bo[c] += grad[HIDDEN]
+                np.matmul(v[own], self.wo[c].T, out=dh[own])
+            dh += z @ self.wc.T
             np.multiply(h, h, out=h)
             np.subtract(1, h, out=h)
             dh *= h
             back.w1 += x.T @ dh
-            back.b1 += dh.sum(0)
-            dx = (dh @ self.w1.T).reshape(n * CONTEXT, EMBED)
-            flat = context.ravel()
+            back.b1 += np.ones(n, self.flat.dtype) @ dh
+            dx = (self.w1 @ dh.T).reshape(CONTEXT, EMBED, n)
+            flat = context.T.astype(np.int64).ravel()
             for k in range(EMBED):
-                back.embed[:, k] += np.bincount(flat, dx[:, k], WORDS + 1)
+                back.embed[:, k] += np.bincount(flat, dx[:, k].ravel(), WORDS + 1)
         out = np.empty_like(logs)
         out[order] = logs
         return out
@@ -291,15 +297,17 @@ class Network:
 
 def windows(numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The words around each word of its text; beyond the text's edges, ``WORDS``."""
-    n = len(numbers)
-    begin = np.repeat(first[:-1], np.diff(first))
-    end = np.repeat(first[1:], np.diff(first))
-    at, columns = np.arange(n), []
-    for step in (*range(-REACH, 0), *range(1, REACH + 1)):
-        j = at + step
-        ok = (j >= begin) & (j < end)
-        columns.append(np.where(ok, numbers[np.clip(j, 0, max(n - 1, 0))], WORDS) if n else numbers)
-    return np.stack(columns, 1).astype(np.uint16)
+    n, out = len(numbers), np.full((len(numbers), CONTEXT), WORDS, np.uint16)
+    begin, end = first[:-1], first[1:]
+    for k in range(1, REACH + 1):
+        before, after = out[:, REACH - k], out[:, REACH + k - 1]
+        before[k:], after[: n - k] = numbers[: max(0, n - k)], numbers[k:]
+        for j in range(k):  # the text's first words have none so far before, its last ones none so far after
+            edge = begin + j
+            before[edge[edge < end]] = WORDS
+            edge = end - 1 - j
+            after[edge[edge >= begin]] = WORDS
+    return out
 
 
 def train(docs: DataFrame, words: Vocabulary, text_column: str, stride: int, rate: float, seed: int, rounds: int = 2) -> Network:
@@ -327,7 +335,7 @@ def _trained(docs: DataFrame, words: Vocabulary, start: Network, text_column: st
     def run(batches):
         words, flat = sent.value
         net = Network(flat.copy())
-        m, s = np.zeros_like(net.flat), np.zeros_like(net.flat)
+        m, s, t = np.zeros_like(net.flat), np.zeros_like(net.flat), np.zeros_like(net.flat)
         contexts, targets, held, seen, step = [], [], 0, 0, 0
 
         def learn(context, word):
@@ -338,7 +346,8 @@ def _trained(docs: DataFrame, words: Vocabulary, start: Network, text_column: st
             g = grad.flat
             g /= len(word)
             np.multiply(m, 0.9, out=m)
-            np.add(m, 0.1 * g, out=m)
+            np.multiply(g, 0.1, out=t)
+            np.add(m, t, out=m)
             np.multiply(s, 0.999, out=s)
             g *= g
             g *= 0.001
@@ -357,15 +366,16 @@ def _trained(docs: DataFrame, words: Vocabulary, start: Network, text_column: st
                 found = find_words(as_texts(column.slice(a, b - a)))
                 hashes = found.hashes()
                 numbers = words.look_up(hashes)
-                chosen = np.arange(len(numbers))
                 if stride > 1:
+                    chosen = np.arange(len(numbers))
                     sums = np.concatenate([np.zeros(1, U64), np.cumsum(hashes, dtype=U64)])
                     text = np.repeat(sums[found.first[1:]] - sums[found.first[:-1]], found.counts())
                     place = (chosen - np.repeat(found.first[:-1], found.counts())).astype(U64)
                     chosen = np.flatnonzero(mix64(text + place) % U64(stride) == 0)
-                contexts.append(windows(numbers, found.first)[chosen])
-                targets.append(numbers[chosen])
-                held += len(chosen)
+                context = windows(numbers, found.first)
+                contexts.append(context if stride == 1 else context[chosen])
+                targets.append(numbers if stride == 1 else numbers[chosen])
+                held += len(targets[-1])
                 if held >= MINIBATCH:
                     context, word = np.concatenate(contexts), np.concatenate(targets)
                     mixed, k = np.random.default_rng(step).permutation(len(word)), 0
