@@ -123,3 +123,15 @@ def test_prefixes_and_errors():
     for text in ("ASK { ?x a ?y }", "SELECT { ?x a ?y }", "SELECT ?x { ?x a }", "SELECT ?x { ?x a ?y", "SELECT ?x { FILTER NOT EXISTS { ?x a ?y } }", "SELECT ?x { ?x a|b ?y }", "SELECT ?x { ?x a b } OFFSET 2"):
         with pytest.raises(QueryError):
             parse(text)
+
+
+def test_a_shared_object_multiplies_no_rows_that_go_again(spark, monkeypatch):
+    """Two hundred nodes lie in one region, two of them have a peer: pairs are made of those two alone."""
+    from triplewright.operators import joins
+
+    rows = [(f"C{k}", "in", "R") for k in range(200)] + [("C1", "peer", "C2"), ("C2", "peer", "C1")]
+    made, natural = [], joins.natural
+    monkeypatch.setattr(joins, "natural", lambda a, b: made.append(natural(a, b)) or made[-1])
+    found = SparqlPlan(spark.createDataFrame(rows, "s string, p string, o string")).run("SELECT ?a ?b { ?a in ?r . ?b in ?r . ?a peer ?x . ?b peer ?y FILTER (str(?a) < str(?b)) }")
+    assert [tuple(r) for r in found.collect()] == [("C1", "C2")]
+    assert max(x.df.count() for x in made) <= 400

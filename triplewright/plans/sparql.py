@@ -51,10 +51,12 @@ class SparqlPlan:
         return Solutions(df.select(*(F.col(c).alias(v) for v, c in at.items())))
 
     def cost(self, t: Triple, bound: set[str]) -> tuple:
+        """Order of a block's triples.  One whose subject is bound comes before one of which only the object is: an object that many subjects share would multiply rows that the others still remove."""
         names = [n.name for n in (t.s, t.p, t.o) if isinstance(n, Ref)]
         constants = sum(isinstance(n, Const) for n in (t.s, t.o))
         rows = self.counts.get(t.p.key, 1 << 40) if isinstance(t.p, Const) else 1 << 50
-        return (bool(bound) and not any(n in bound for n in names), -constants, rows)
+        fans_out = bool(bound) and isinstance(t.s, Ref) and t.s.name not in bound
+        return (bool(bound) and not any(n in bound for n in names), -constants, fans_out, rows)
 
     def block(self, triples: list[Triple], now: Solutions) -> Solutions:
         rest = list(triples)
