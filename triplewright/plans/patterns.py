@@ -79,10 +79,11 @@ class Matcher:
         return Solutions(out.df.drop(*[n for n, _ in nested]) if nested else out.df)
 
     def size(self, c: Condition, bound: set[str]) -> tuple:
-        """Order of the positive conditions: connected ones first, then those with most constants."""
+        """Order of the positive conditions: connected ones first, then those with most constants, then those whose subject is bound: an object that many subjects share would multiply rows that the others still remove."""
         terms = (c.fact.s, c.fact.p, *c.fact.objects)
         names = set(variables(c.fact))
-        return (bool(bound) and not names & bound, isinstance(c, Near), -sum(isinstance(t, Atom) or not variables(t) for t in terms), isinstance(c.fact.p, Var))
+        fans_out = bool(bound) and not set(variables(c.fact.s)) <= bound
+        return (bool(bound) and not names & bound, isinstance(c, Near), -sum(isinstance(t, Atom) or not variables(t) for t in terms), fans_out, isinstance(c.fact.p, Var))
 
     def body(self, conditions: tuple[Condition, ...], seed: tuple[int, DataFrame] | None = None, proof: bool = False) -> Solutions:
         """Bindings of a whole body: positive conditions, inequalities when both sides are bound, negations last.
