@@ -222,3 +222,8 @@ def test_rules_pair_what_is_left_of_a_crowd(spark, counted):
     out = crowded(spark).add("(A in R, B in R, A peer X, B peer Y, A != B) => (A near B)").infer()[1].new
     assert rows(out.selectExpr("s", "objects[0] AS o")) == [("C1", "C2"), ("C2", "C1")]
     assert counted() <= 400
+
+
+def test_patterns_pair_what_is_left_of_a_crowd(spark, counted):
+    assert rows(crowded(spark).match("(A in R, B in R, A peer X, B peer Y, A != B)").select("A", "B")) == [("C1", "C2"), ("C2", "C1")]
+    assert counted() <= 400
