@@ -17,6 +17,16 @@ _OWN: list[str] = []
 _FOLDERS: dict[str, str] = {}
 
 
+#: Bytes of rows for a byte of a compressed Parquet file of keys and names, for Spark's size checks.
+EXPANSION = 8
+
+
+def sized(spark: SparkSession) -> SparkSession:
+    """Let Spark reckon tables by their rows, not by their compressed files: else it broadcasts some ten times what it allows, by way of the driver and into every task that joins them."""
+    spark.conf.set("spark.sql.sources.fileCompressionFactor", str(EXPANSION))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``.
 
@@ -60,7 +70,7 @@ def _folder(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """Write a table and read it back: loops neither grow their plans nor compute a round twice, and lost executors don't matter."""
-    spark = df.sparkSession
+    spark = sized(df.sparkSession)
     path = f"{_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
