@@ -73,3 +73,18 @@ def test_a_stored_table_counts_as_its_rows(spark):
     t = stored(spark.range(20000).selectExpr("concat('customer/', id) AS s", "concat('nation/', id % 25) AS o"))
     files = sum(os.path.getsize(f.removeprefix("file://")) for f in t.inputFiles())
     assert int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= 4 * files
+
+
+def test_distinct_compares_the_tables_own_columns(spark, tmp_path):
+    from triplewright.catalog import triples
+    from triplewright.queries import graph
+
+    path = str(tmp_path / "lineitem.parquet")
+    spark.createDataFrame([(1, 2, 3), (1, 2, 3), (1, 2, 4), (1, None, 4)], "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(path)
+    spark.createDataFrame([(2, "b", "t", 7)] * 2, "p_partkey long, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    supplied = triples(spark, str(tmp_path), ["supplies"])
+    assert sorted(tuple(r) for r in supplied.collect()) == [("supplier/3", "supplies", "part/2"), ("supplier/4", "supplies", "part/2")]
+    assert "keys=[l_suppkey" in supplied._jdf.queryExecution().executedPlan().toString()
+    facts = graph(spark, str(tmp_path), ["supplies", "has_size", "contains_part"]).facts
+    assert sorted((r["p"], r["s"]) for r in facts.collect()) == [("contains_part", "order/1"), ("has_size", "part/2"), ("supplies", "supplier/3"), ("supplies", "supplier/4")]
+    assert "keys=[s#" not in facts._jdf.queryExecution().executedPlan().toString()

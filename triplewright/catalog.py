@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from triplewright.storage import small_rows
+from triplewright.storage import sized, small_rows
 
 #: predicate -> (table, subject, object, filter, distinct), in SQL that both engines read.
 VIEWS: list[tuple[str, str, str, str, str, bool]] = [
@@ -60,6 +60,21 @@ def _branch(p: str, table: str, s: str, o: str, where: str, distinct: bool) -> s
     return f"SELECT {'DISTINCT ' if distinct else ''}{s} AS s, '{p}' AS p, {o} AS o FROM {table} WHERE ({s}) IS NOT NULL AND ({o}) IS NOT NULL" + (f" AND {where}" if where else "")
 
 
+def _column(expression: str) -> str | None:
+    """The one column that an expression tells apart as well as it does its own values; None if there may be none."""
+    made = re.fullmatch(r"(?:'\w+/' \|\| )?(\w+)|CAST\((\w+) AS STRING\)", expression)
+    return made and (made[1] or made[2])
+
+
+def _rows(p: str, table: str, s: str, o: str, where: str, distinct: bool) -> str:
+    """``_branch`` for Spark: a DISTINCT compares the table's own columns, before names are made of them."""
+    own = [_column(s), _column(o)]
+    if not distinct or None in own:
+        return _branch(p, table, s, o, where, distinct)
+    kept = " AND ".join([f"{c} IS NOT NULL" for c in own] + [where] * bool(where))
+    return f"SELECT {s} AS s, '{p}' AS p, {o} AS o FROM (SELECT DISTINCT {', '.join(dict.fromkeys(own))} FROM {table} WHERE {kept})"
+
+
 #: For the SQL twins: ``WITH`` text that makes ``triples``.
 TRIPLES_SQL = "triples AS (" + " UNION ALL ".join(_branch(*v) for v in VIEWS) + ")"
 
@@ -71,17 +86,17 @@ def _table(spark: SparkSession, path: str) -> DataFrame:
     """A table of the folder; its schema is read from the files once in a session's life."""
     if path not in _SCHEMAS:
         _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    return sized(spark).read.schema(_SCHEMAS[path]).parquet(path)
 
 
-def triples(spark: SparkSession, sf_dir: str, predicates: list[str] | None = None, s: str | None = None, o: str | None = None) -> DataFrame:
-    """The tables under ``sf_dir`` as (``s``, ``p``, ``o``); with ``predicates``, only those.
+def triples(spark: SparkSession, sf_dir: str, predicates: list[str] | None = None, s: str | None = None, o: str | None = None, distinct: bool = False) -> DataFrame:
+    """The tables under ``sf_dir`` as (``s``, ``p``, ``o``); with ``predicates``, only those; ``distinct`` leaves no two rows equal.
 
     A subject or an object that is given becomes a condition on the table's
     own key, which reaches the scan and comes before the DISTINCT; tables that
     can't have it aren't opened.
     """
-    subject, target = s, o
+    subject, target, once = s, o, distinct
     chosen = [v for v in VIEWS if predicates is None or v[0] in predicates]
     parts = []
     for p, table, s, o, where, distinct in chosen:
@@ -90,7 +105,8 @@ def triples(spark: SparkSession, sf_dir: str, predicates: list[str] | None = Non
             continue
         where = where or " AND ".join(k for k in keys if k)
         tables = {table: _table(spark, f"{sf_dir}/{table}.parquet")}
-        parts.append(spark.sql(_branch(p, "{" + table + "}", s, o, where, distinct), **tables))
+        rows = spark.sql(_rows(p, "{" + table + "}", s, o, where, distinct or once), **tables)
+        parts.append(rows.distinct() if once and where == "EXISTS" else rows)  # tables of one predicate have subjects of their own
     if not parts:
         return small_rows(spark, [], "s string, p string, o string")
     out = reduce(DataFrame.unionAll, parts)

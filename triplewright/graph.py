@@ -145,9 +145,10 @@ class Graph:
         watch(stored(grown.delta(self)))
         return grown
 
-    def insert_triples(self, df: DataFrame, prob: float = 1.0) -> Graph:
-        """Add a table of (``s``, ``p``, ``o``), each row a fact of one object; rows with nulls or ``p = o`` are left out."""
-        rows = df.select("s", "p", "o").where("s is not null and p is not null and o is not null and p <> o").distinct()
+    def insert_triples(self, df: DataFrame, prob: float = 1.0, distinct: bool = False) -> Graph:
+        """Add a table of (``s``, ``p``, ``o``), each row a fact of one object; rows with nulls or ``p = o`` are left out.  ``distinct``: no two rows are equal."""
+        rows = df.select("s", "p", "o").where("s is not null and p is not null and o is not null and p <> o")
+        rows = rows if distinct else rows.distinct()
         objects = F.array("o")
         facts = rows.select(fact_key_column(F.col("s"), F.col("p"), objects).alias("fact_id"), "s", "p", objects.alias("objects"), F.lit(prob).alias("prob"), F.lit(False).alias("derived"), F.lit(0).alias("iter"), F.lit(None).cast("string").alias("rule_id"), F.lit(self.cluster).cast("string").alias("cluster"), F.lit(None).cast("array<string>").alias("premises"))
         return self._insert(facts, prob, distinct=True)

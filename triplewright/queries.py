@@ -53,7 +53,7 @@ def pattern(name: str, text: str, sql: str, predicates: list[str] | None, column
 
 
 def graph(spark: SparkSession, d: str, predicates: list[str] | None, *text: str, s: str | None = None, o: str | None = None) -> Graph:
-    return Graph.empty(spark).insert_triples(triples(spark, d, predicates, s, o)).add(*text)
+    return Graph.empty(spark).insert_triples(triples(spark, d, predicates, s, o, distinct=True), distinct=True).add(*text)
 
 
 def named(spark: SparkSession, d: str, predicates: list[str] | None) -> Graph:
